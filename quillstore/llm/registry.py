@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, token_counts
 
 QUERIES = {
+    "op6_token_counts": token_counts.op6_token_counts,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 ORACLES = {
