@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_counts
+from . import exact_dedup, packing, substring_dedup, token_counts
 
 QUERIES = {
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_packing": packing.op4_packing,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
