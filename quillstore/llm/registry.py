@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, substring_dedup, token_counts
+from . import exact_dedup, jaccard_join, packing, substring_dedup, token_counts
 
 QUERIES = {
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_packing": packing.op4_packing,
     "op6_token_counts": token_counts.op6_token_counts,
