@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, packing, substring_dedup, token_counts
+from . import decontaminate, exact_dedup, jaccard_join, packing, substring_dedup, token_counts
 
 QUERIES = {
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_packing": packing.op4_packing,
@@ -12,5 +13,6 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 ORACLES = {
+    "op7_decontaminate": decontaminate.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
