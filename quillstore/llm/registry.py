@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, packing, pii, secrets, substring_dedup, token_counts
+from . import decontaminate, exact_dedup, jaccard_join, packing, pii, quality, secrets, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op10_pii": pii.op10_pii,
     "op7_decontaminate": decontaminate.op7_decontaminate,
