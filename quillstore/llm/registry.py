@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, jaccard_join, packing, pii, quality, secrets, substring_dedup, token_counts
+from . import chat_format, decontaminate, exact_dedup, jaccard_join, packing, pii, quality, secrets, substring_dedup, token_counts
 
 QUERIES = {
+    "op5_chat_format": chat_format.op5_chat_format,
     "op1_quality": quality.op1_quality,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op10_pii": pii.op10_pii,
