@@ -11,7 +11,7 @@ no hash of the sketch can't contain the item, whatever their sizes, and none tha
 Documents with one are read again and verified by the exact shingles, as strings.
 
 Items' sketches and shingles are broadcast while their counted rows are within
-``BROADCAST_ROWS``; beyond it the joins shuffle. All of it is DataFrame functions.
+``common.BROADCAST_ROWS``; beyond it the joins shuffle. All of it is DataFrame functions.
 
 Null or empty texts have no shingles: such items are in no document, such documents hold no
 item. Rows of equal doc_id and text give one row; a null doc_id is carried as null. Equal items are
@@ -27,8 +27,6 @@ from . import common
 
 WIDTH = 5
 PERCENT = 80
-#: Rows of 16 bytes and a short string: some 100 MB at most.
-BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -58,11 +56,6 @@ def _hashes(found: Column) -> Column:
 # projections, which inlines the array of words into the lambda and evaluates it for every shingle.
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its rows are few enough; ``df`` is in the shared folder already."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _items(benchmark: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Shingles (item_id, n, shingle, hash) and sketches (hash, item_id, least)."""
     found = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), words(benchmark["text"]).alias("w"))
@@ -85,20 +78,20 @@ def contained(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) ->
     hashed = keyed.select("doc_id", "text_hash", words(F.col("text")).alias("w")).select("doc_id", "text_hash", F.size("w").alias("n_words"), _hashes(F.col("w")).alias("hashes"))
     exploded = hashed.select("doc_id", "text_hash", "n_words", F.explode_outer("hashes").alias("hash"))
     candidates = common.written(
-        exploded.join(_sized(sketches), "hash").where(F.col("n_words") >= F.col("least")).select("doc_id", "text_hash", "item_id").distinct(), "candidates"
+        exploded.join(common.sized(sketches), "hash").where(F.col("n_words") >= F.col("least")).select("doc_id", "text_hash", "item_id").distinct(), "candidates"
     )
     pairs = candidates.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "print")
-    again = keyed.join(_sized(pairs), keyed["doc_id"].eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("print")))
+    again = keyed.join(common.sized(pairs), keyed["doc_id"].eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("print")))
     own = again.select("doc_id", "text_hash", "item_id", words(F.col("text")).alias("w")).select("doc_id", "text_hash", "item_id", F.explode_outer(F.array_distinct(_strings(F.col("w")))).alias("shingle"))
     # Repeated rows would count their shingles twice.
-    shared = own.distinct().join(_sized(shingles), ["item_id", "shingle"]).groupBy("doc_id", "text_hash", "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared"))
+    shared = own.distinct().join(common.sized(shingles), ["item_id", "shingle"]).groupBy("doc_id", "text_hash", "item_id", "n").agg(F.count(F.lit(1)).alias("n_shared"))
     return shared.where(F.col("n_shared") * 100 >= F.col("n") * percent).select("doc_id", "text_hash", "item_id", F.col("n").alias("n_shingles"), "n_shared")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that hold no item, all columns as they came."""
     gone = common.written(contained(docs, benchmark, percent).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "contaminated")
-    return docs.join(_sized(gone), docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"]), "left_anti")
+    return docs.join(common.sized(gone), docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_hash"]), "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -334,5 +334,12 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     return rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its class (or null), all columns as they came."""
+    found = classes(docs, width, percent)
+    gone = common.written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct(), "near")
+    return docs.join(common.sized(gone), docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(common.table(spark, sf_dir, "documents"))
