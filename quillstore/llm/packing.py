@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common, textkit
-from .token_counts import SegmentEncoder, distinct, segment_bytes, tokenizer_path
+from .token_counts import SegmentEncoder, distinct, segment_bytes, segments_of, tokenizer_path
 
 TIERS = (2048, 1024, 512, 256)
 TERMINATOR = 1
@@ -39,10 +39,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def encode_block(words: textkit.Words, encoder: SegmentEncoder, terminator: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the block's documents one after another, each with its terminator, and their bounds."""
     codes, first = distinct(words)
-    forms = encoder.ids(segment_bytes(words, first))
-    sizes = np.array([len(x) for x in forms], np.int64)
-    flat = np.concatenate(forms) if forms else np.zeros(0, np.uint32)
-    begins = np.r_[0, np.cumsum(sizes)][:-1]
+    flat, begins, sizes = encoder.ids(segment_bytes(words, first))
     each = sizes[codes]
     ends = np.r_[0, np.cumsum(each)]
     bounds = ends[words.bounds] + np.arange(len(words.bounds))
@@ -177,7 +174,7 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, group: int = GROUP, te
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             for a, b, data, offsets in textkit.blocks(batch.column("text")):
-                ids, bounds = encode_block(textkit.Words(data, offsets), encoder, terminator)
+                ids, bounds = encode_block(segments_of(data, offsets), encoder, terminator)
                 for i in range(a, b):
                     packer.add(doc_ids[i], ids[bounds[i - a] : bounds[i - a + 1]])
                 held += len(ids)

@@ -32,6 +32,8 @@ _LOWER[65:91] += 32
 _BYTES_LOWER = _BYTES[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: 1 an ASCII letter, 2 another ASCII character that isn't white space, 3 the apostrophe, 0 the rest.
+_KINDS = np.array([0 if c >= 128 or _SPACE[c] else 1 if chr(c).isalpha() else 3 if c == 39 else 2 for c in range(256)], np.uint8)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -58,14 +60,23 @@ def rolled(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, multiplier:
 
 
 class Words:
-    """Words of a block of documents: byte bounds, hashes, and the words of each document."""
+    """Words of a block of documents: byte bounds, hashes, and the words of each document.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    lower: A-Z hash as a-z. cut: words are cut further where an ASCII letter meets another
+    ASCII character on either side, but not after an apostrophe.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, cut: bool = False):
         inside = ~_SPACE[data]
         first = inside.copy()
         first[1:] &= ~inside[:-1]
         last = inside.copy()
         last[:-1] &= ~inside[1:]
+        if cut:
+            kind = _KINDS[data]
+            turn = (kind[:-1] == 1) & (kind[1:] >= 2) | (kind[:-1] == 2) & (kind[1:] == 1)
+            first[1:] |= turn
+            last[:-1] |= turn
         cuts = offsets[1:-1]
         cuts = cuts[(cuts > 0) & (cuts < len(data))]
         first[cuts] |= inside[cuts]

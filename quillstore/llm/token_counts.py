@@ -1,8 +1,7 @@
 """Token counts by a two-tier lookup on the map side.
 
-A text is cut at space and 0x09-0x0D into segments; the tokenizer never merges across them
-(its pre-tokenizer drops white space, its normaliser composes nothing across it, and no
-special string holds any), so a text's count is the sum over its segments. Pass one sums up
+A text is cut into segments that the tokenizer never joins (``segments_of``), so a text's
+count is the sum over its segments. Pass one sums up
 the most frequent segments of every partition (a bounded summary each), merges the
 summaries in two levels, and broadcasts a table of at most ``TABLE`` lengths (14 bytes an
 entry, so at most 1 MB at any input size). Pass two looks each segment up in the table; misses go through a
@@ -15,6 +14,7 @@ come back as they came in, repeated doc_ids and null doc_ids included; extra col
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +28,10 @@ from . import common, textkit
 TOKENIZER = "word_bpe_49k.json"
 TABLE = 1 << 16
 SUMMARY = 1 << 14
-CACHED = 1 << 18
+CACHED = 1 << 19
 #: Summaries merge in so many tasks first, then in one.
 SHARDS = 256
-#: Longer segments are encoded by themselves and not cached.
+#: Longer segments are kept out of the table.
 LONG_SEGMENT = 256
 
 
@@ -53,7 +53,14 @@ class SegmentEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.places: dict[bytes, int] = {}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.begins = np.zeros(1 << 16, np.int64)
+        self.sizes = np.zeros(1 << 16, np.int64)
+        self.used = 0
 
     @classmethod
     def of(cls, path: str) -> "SegmentEncoder":
@@ -61,18 +68,40 @@ class SegmentEncoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
-    def ids(self, segments: list[bytes]) -> list[np.ndarray]:
-        found = [self.cache.get(s) for s in segments]
-        missing = [i for i, x in enumerate(found) if x is None]
+    def ids(self, segments: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all known segments, and where those of each given one (no two equal) begin in them, and how many they are."""
+        if len(self.places) > CACHED:
+            self.clear()
+        at = np.fromiter(map(self.places.get, segments, itertools.repeat(-1)), np.int64, len(segments))
+        missing = np.flatnonzero(at < 0).tolist()
         if missing:
-            if len(self.cache) > CACHED:
-                self.cache.clear()
-            encoded = self.tokenizer.encode_batch_fast([segments[i].decode("utf-8", "replace") for i in missing], add_special_tokens=False)
-            for i, e in zip(missing, encoded):
-                found[i] = np.array(e.ids, dtype=np.uint32)
-                if len(segments[i]) <= LONG_SEGMENT:
-                    self.cache[segments[i]] = found[i]
-        return found
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast([segments[i].decode("utf-8", "replace") for i in missing], add_special_tokens=False)]
+            n, sizes = len(self.places), np.fromiter(map(len, encoded), np.int64, len(encoded))
+            fresh = np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(sizes.sum()))
+            self.flat = _grown(self.flat, self.used + len(fresh))
+            self.begins, self.sizes = _grown(self.begins, n + len(missing)), _grown(self.sizes, n + len(missing))
+            self.flat[self.used : self.used + len(fresh)] = fresh
+            self.sizes[n : n + len(missing)] = sizes
+            self.begins[n : n + len(missing)] = self.used + np.r_[0, np.cumsum(sizes)[:-1]]
+            self.used += len(fresh)
+            at[missing] = np.arange(n, n + len(missing))
+            self.places.update((segments[i], n + k) for k, i in enumerate(missing))
+        return self.flat, self.begins[at], self.sizes[at]
+
+
+def _grown(array: np.ndarray, n: int) -> np.ndarray:
+    return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
+
+
+def segments_of(data: np.ndarray, offsets: np.ndarray) -> textkit.Words:
+    """Pieces of the block's texts that the tokenizer never joins, hashed without regard to ASCII case.
+
+    Its pre-tokenizer ends a run of letters at any other character and begins one after any
+    but an apostrophe; its normaliser lower-cases and composes nothing onto ASCII characters.
+    Special strings would be cut or change their case, so blocks that may hold one are cut at white space only.
+    """
+    plain = b"<|" in data.tobytes()
+    return textkit.Words(data, offsets, lower=not plain, cut=not plain)
 
 
 def distinct(words: textkit.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +114,8 @@ def distinct(words: textkit.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def segment_bytes(words: textkit.Words, at: np.ndarray) -> list[bytes]:
     raw = words.data.tobytes()
+    if b"<|" not in raw:
+        raw = raw.lower()
     return [raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())]
 
 
@@ -98,7 +129,7 @@ def _summaries(size: int, width: int):
         partition = None
         for batch in batches:
             for _, _, data, offsets in textkit.blocks(batch.column(0)):
-                words = textkit.Words(data, offsets)
+                words = segments_of(data, offsets)
                 codes, first = distinct(words)
                 per = np.bincount(codes, minlength=len(first))
                 short = np.flatnonzero((per > 1) & (words.ends[first] - words.starts[first] <= LONG_SEGMENT))
@@ -147,7 +178,7 @@ def frequent_lengths(texts: DataFrame, path: str, entries: int = TABLE, summary:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16)
     raw = b" ".join(segments)
     words = textkit.Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-    lengths = np.array([len(x) for x in SegmentEncoder.of(path).ids(segments)], np.uint16)
+    lengths = SegmentEncoder.of(path).ids(segments)[2].astype(np.uint16)
     order = np.argsort(words.hashes)
     return words.hashes[order], (words.ends - words.starts)[order].astype(np.uint32), lengths[order]
 
@@ -164,7 +195,7 @@ def count_words(words: textkit.Words, table: tuple[np.ndarray, np.ndarray, np.nd
         lengths[known] = table[2][at[known]]
     missing = np.flatnonzero(~known)
     if len(missing):
-        lengths[missing] = [len(x) for x in encoder.ids(segment_bytes(words, first[missing]))]
+        lengths[missing] = encoder.ids(segment_bytes(words, first[missing]))[2]
     total = np.r_[0, np.cumsum(lengths[codes])]
     return total[words.bounds[1:]] - total[words.bounds[:-1]]
 
@@ -182,7 +213,7 @@ def count_tokens(docs: DataFrame, limit: int = 2048, path: str | None = None) ->
             text = textkit.text_column(batch.column("text"))
             tokens = np.zeros(len(text), np.int64)
             for a, b, data, offsets in textkit.blocks(text):
-                tokens[a:b] = count_words(textkit.Words(data, offsets), table.value, encoder)
+                tokens[a:b] = count_words(segments_of(data, offsets), table.value, encoder)
             sizes = np.diff(textkit.buffers(text)[1])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
