@@ -55,8 +55,9 @@ def all_pages(docs: DataFrame, limit: int, filters=()) -> DataFrame:
     bounds = sorted(r["id"] for r in rows.select("id").orderBy(F.xxhash64("id")).limit(RANGES - 1).collect())
     between = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("id"))) if bounds else F.lit(0)
     ranged = rows.withColumn("range", between)
-    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
-    before = sizes.select("range", (F.sum("size").over(Window.orderBy("range")) - F.col("size")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy("id")).cast("long")
-    numbered = ranged.withColumn("place", place).join(F.broadcast(before), "range")
-    return numbered.select(F.floor((F.col("before") + F.col("place") - 1) / checked_limit(limit)).cast("long").alias("page"), "id", "doc")
+    # One number for each range, RANGES at most.
+    sizes = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
+    before = F.array(*[F.lit(sum(n for k, n in sizes.items() if k < i)) for i in range(len(bounds) + 1)])
+    place = F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1
+    page_number = F.floor((F.get(before, F.col("range")) + place) / checked_limit(limit)).cast("long")
+    return ranged.select(page_number.alias("page"), "id", "doc")
