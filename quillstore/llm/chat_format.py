@@ -34,23 +34,23 @@ OTHER = ("[ROLE]", "[TURN]", "[/ROLE]")
 CONTROL = tuple(sorted({*itertools.chain.from_iterable(MARKS.values()), *OTHER, "<|endoftext|>"}))
 JOINER = "\u2060"
 
-_TAILS = "|".join(re.escape(c[1:]) for c in CONTROL)
-_ESCAPE = re.compile(rf"([\[<])({JOINER}*)({_TAILS})")
-_UNESCAPE = re.compile(rf"([\[<]){JOINER}({JOINER}*)({_TAILS})")
-_MARK = re.compile("|".join(re.escape(c) for c in sorted(CONTROL, key=len, reverse=True)))
+def _heads(joiners: str) -> str:
+    """A control string's first character, where joiners (as a pattern) and the rest follow."""
+    after = {h: "|".join(re.escape(c[1:]) for c in CONTROL if c[0] == h) for h in "[<"}
+    return "|".join(rf"{re.escape(h)}(?={joiners}(?:{rest}))" for h, rest in after.items())
 
 
-def _pairs_only(found: re.Match, joined: str) -> str:
-    """Tails belong to heads: only what is a control string without its joiners changes."""
-    return joined if found[1] + found[3] in CONTROL else found[0]
+_ESCAPE = re.compile(_heads(f"{JOINER}*"))
+_UNESCAPE = re.compile(f"({_heads(f'{JOINER}+')}){JOINER}")
+_MARK = re.compile("|".join(re.escape(c) for c in sorted(CONTROL, key=len, reverse=True)))
 
 
 def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: _pairs_only(m, m[1] + JOINER + m[2] + m[3]), text)
+    return _ESCAPE.sub(lambda m: m[0] + JOINER, text)
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPE.sub(lambda m: _pairs_only(m, m[1] + m[2] + m[3]), text)
+    return _UNESCAPE.sub(r"\1", text)
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -180,3 +180,19 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
     formatted = format_conversations(common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
     return formatted.mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+_CONTROL_SQL = r"\[\x{2060}*(?:INST\]|/INST\]|ROLE\]|TURN\]|/ROLE\])|<\x{2060}*(?:s>|/s>|<SYS>>|</SYS>>|\|endoftext\|>)"
+ORACLE = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROL_SQL}')) + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15
+    ELSE 19 + length(role) + len(regexp_extract_all(role, '{_CONTROL_SQL}')) END AS chars FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""

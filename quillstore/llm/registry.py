@@ -5,18 +5,21 @@ from __future__ import annotations
 from . import chat_format, decontaminate, exact_dedup, jaccard_join, packing, pii, quality, secrets, substring_dedup, token_counts
 
 QUERIES = {
-    "op5_chat_format": chat_format.op5_chat_format,
     "op1_quality": quality.op1_quality,
     "op2_secret_scan": secrets.op2_secret_scan,
-    "op10_pii": pii.op10_pii,
-    "op7_decontaminate": decontaminate.op7_decontaminate,
-    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_packing": packing.op4_packing,
+    "op5_chat_format": chat_format.op5_chat_format,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES = {
+    "op3_substring_dedup": substring_dedup.ORACLE,
+    "op5_chat_format": chat_format.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
