@@ -87,10 +87,10 @@ def features(data: np.ndarray, offsets: np.ndarray, n_chars: np.ndarray) -> tupl
     runs, at = words.windows(5), np.arange(max(0, len(words.hashes) - 4))
     fits = at + 5 <= words.bounds[1:][owner[: len(at)]] if len(at) else np.zeros(0, bool)
     shares.append(_shares(_per_document(owner[: len(at)][fits], runs[fits], n), np.maximum(counts - 4, 0)))
-    breaks = np.unique(np.r_[np.flatnonzero(data == 10), offsets[1:]])
-    starts = np.unique(np.r_[offsets[:-1], np.flatnonzero(data == 10) + 1])
+    breaks = np.r_[np.flatnonzero(data == 10), len(data)]
+    starts = np.unique(np.r_[offsets[:-1], breaks[:-1] + 1])
     starts = starts[starts < len(data)]
-    ends = breaks[np.searchsorted(breaks, starts)] if len(starts) else starts
+    ends = np.minimum(breaks[np.searchsorted(breaks, starts)], offsets[np.searchsorted(offsets, starts, side="right")])
     starts, ends = starts[ends > starts], ends[ends > starts]
     line_owner = np.searchsorted(offsets, starts, side="right") - 1
     lines = np.bincount(line_owner, minlength=n)
