@@ -43,7 +43,7 @@ SECRETS = {
 
 
 def secrets(text):
-    return [(k, m.start(), m.end()) for k, (p, ok) in SECRETS.items() for m in re.finditer(p, text or "") if ok(m)]
+    return [(k, m.start(), m.end()) for k, (p, ok) in SECRETS.items() for m in re.finditer(p, text or "", re.A) if ok(m)]
 
 
 def words(text):
