@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import listing, state
+from ..store import Store
 from . import collections as K
 
 
@@ -103,9 +107,23 @@ def crc_payload(spark, sf_dir):
     return K.table(spark, sf_dir, "documents").select("doc_id", C.crc32(F.col("text")).alias("crc"))
 
 
+def stored_mutations(spark, sf_dir):
+    """A store written in three batches (the last put of each user; some deletes; some of them put again), compacted, and read."""
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quillstore").rstrip("/")
+    log = K.mutations(spark, sf_dir).where("op = 'put'").withColumnRenamed("doc", "text")
+    last = log.groupBy("collection", "id").agg(F.max_by("text", F.struct("batch", "pos")).alias("text"))
+    number = F.col("id").cast("long")
+    with Store(spark, f"{folder}/store-{uuid.uuid4().hex}") as store:
+        store.put_all(last)
+        store.delete_all(last.where(number % 7 == 0))
+        store.put_all(last.where(number % 14 == 0).withColumn("text", F.lit('{ "k" : 1.50, "again": null }')))
+        store.compact()
+        return store.current(("doc",)).select("collection", "id", "doc")
+
+
 QUERIES = {
     q.__name__: q
-    for q in (list_page, list_where_number, list_where_string, list_where_and, list_where_nested, list_where_missing, list_after, page_cursor, all_pages, get_many, current_state, delete_flags, collection_counts, canonical_docs, valid_ids, valid_collections, crc_payload)
+    for q in (list_page, list_where_number, list_where_string, list_where_and, list_where_nested, list_where_missing, list_after, page_cursor, all_pages, get_many, current_state, delete_flags, collection_counts, canonical_docs, valid_ids, valid_collections, crc_payload, stored_mutations)
 }
 
 _EVENTS = "SELECT CAST(event_id AS VARCHAR) AS id, CAST(json(props) AS VARCHAR) AS doc, json_extract_string(props, '$.k') AS k FROM events"
@@ -138,6 +156,9 @@ ORACLES = {
     "collection_counts": f"""WITH r AS (SELECT DISTINCT collection FROM ({_MUTATIONS}) UNION ALL SELECT 'empty'),
         n AS (SELECT collection, count(*) FILTER (op = 'put') AS documents FROM ({_LATEST}) WHERE n = 1 GROUP BY collection)
         SELECT r.collection, coalesce(n.documents, 0)::BIGINT AS documents FROM r LEFT JOIN n ON n.collection = r.collection""",
+    "stored_mutations": f"""SELECT collection, id, CASE WHEN CAST(id AS BIGINT) % 14 = 0 THEN '{{"k":1.50,"again":null}}' ELSE CAST(json(doc) AS VARCHAR) END AS doc FROM
+        (SELECT *, row_number() OVER (PARTITION BY collection, id ORDER BY ts DESC, event_id DESC) AS n FROM ({_MUTATIONS}) WHERE op = 'put')
+        WHERE n = 1 AND (CAST(id AS BIGINT) % 7 <> 0 OR CAST(id AS BIGINT) % 14 = 0)""",
     "canonical_docs": f"SELECT id, doc FROM ({_EVENTS})",
     "valid_ids": r"""SELECT source, coalesce(strlen(id) BETWEEN 1 AND 256 AND NOT regexp_matches(id, '\p{Cc}'), false) AS valid, count(*) AS ids FROM
         (SELECT 'documents' AS source, text AS id FROM documents UNION ALL SELECT 'customer', c_name FROM customer UNION ALL SELECT 'pages', url FROM pages) GROUP BY ALL""",
