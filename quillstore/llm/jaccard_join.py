@@ -34,11 +34,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, graph, textkit
-from .substring_dedup import _dealt, _replies, _wide
+from . import common, graph, packed, textkit
 
-CHUNK_BYTES = 4 << 20
-BUCKET_ENTRIES = 2_000_000
+#: Some two million entries at the smallest chunks: each word begins a shingle.
+CHUNKS_TO_BUCKET = 3
 CLUSTER_ELEMENTS = 2_000_000
 _LOW = np.uint64((1 << 40) - 1)
 #: Kinds of what a chunk sends: documents, list entries, subset hashes, links found, sets.
@@ -93,12 +92,12 @@ def _bucket_key(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def _sent(table: pa.Table, rule: Rule, buckets: int) -> pa.Table:
     found = list(_sets(textkit.text_column(table.column("text")), rule))
     hashes = np.unique(np.concatenate(found))
-    return _dealt(table.column("chunk")[0].as_py(), hashes, [hashes & _LOW], buckets, (5,))
+    return packed.dealt(table.column("chunk")[0].as_py(), hashes, [hashes & _LOW], buckets, (5,))
 
 
 def _counted(table: pa.Table) -> pa.Table:
     """Shingles that two chunks hold, with the number of chunks, for each of them."""
-    parts = [_wide(x.as_py(), 5) for x in table.column("c0")]
+    parts = [packed.widened(x.as_py(), 5) for x in table.column("c0")]
     hashes = np.concatenate(parts)
     owner = np.repeat(table.column("chunk").to_numpy(), [len(p) for p in parts])
     order = np.argsort(hashes, kind="stable")
@@ -107,7 +106,7 @@ def _counted(table: pa.Table) -> pa.Table:
     counts = np.diff(np.r_[np.flatnonzero(new), len(hashes)])
     each = counts[np.cumsum(new) - 1]
     many = each > 1
-    out = _replies(owner[many], [hashes[many], np.minimum(each[many], 65535).astype(np.uint64)], (5, 2))
+    out = packed.replies(owner[many], [hashes[many], np.minimum(each[many], 65535).astype(np.uint64)], (5, 2))
     return out.append_column("bucket", pa.array([table.column("bucket")[0].as_py()] * out.num_rows, pa.int32()))
 
 
@@ -170,8 +169,8 @@ def _entries(table: pa.Table, replies: pa.Table, rule: Rule, buckets: int) -> pa
     bounds = np.r_[0, np.cumsum(sizes[chosen])]
     chunks_with = np.ones(len(flat), np.int64)
     if replies.num_rows and len(flat):
-        keys = np.concatenate([(np.uint64(b) << np.uint64(40)) | _wide(x.as_py(), 5) for b, x in zip(replies.column("bucket").to_pylist(), replies.column("c0"))])
-        counts = np.concatenate([_wide(x.as_py(), 2) for x in replies.column("c1")]).astype(np.int64)
+        keys = np.concatenate([(np.uint64(b) << np.uint64(40)) | packed.widened(x.as_py(), 5) for b, x in zip(replies.column("bucket").to_pylist(), replies.column("c0"))])
+        counts = np.concatenate([packed.widened(x.as_py(), 2) for x in replies.column("c1")]).astype(np.int64)
         order = np.argsort(keys)
         keys, counts = keys[order], counts[order]
         mine = _bucket_key(flat, buckets)
@@ -203,12 +202,11 @@ def _entries(table: pa.Table, replies: pa.Table, rule: Rule, buckets: int) -> pa
                 links.append(found)
             else:
                 rows.append((-1, LISTS, found[0].tobytes(), found[1].tobytes(), None, None))
-            dealt = _dealt(0, keys, [keys, doc.view(np.uint64), size.view(np.uint64), overlap.view(np.uint64)], buckets, (8, 8, 3, 3))
+            dealt = packed.dealt(0, keys, [keys, doc.view(np.uint64), size.view(np.uint64), overlap.view(np.uint64)], buckets, (8, 8, 3, 3))
             rows += [(r["bucket"], kind, r["c0"], r["c1"], r["c2"], r["c3"]) for r in dealt.to_pylist()]
     rows.append((-1, LINKS, np.concatenate([x[0] for x in links]).tobytes(), np.concatenate([x[1] for x in links]).tobytes(), None, None))
     for doc, own in kept:
-        packed = np.ascontiguousarray(textkit.mix(own).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-        rows.append((-1, SETS, packed, None, None, None, doc))
+        rows.append((-1, SETS, packed.narrowed(textkit.mix(own), 6).tobytes(), None, None, None, doc))
     return _rows(rows)
 
 
@@ -229,7 +227,7 @@ def _edges(kind: int, a: np.ndarray, b: np.ndarray) -> pa.Table:
 def _met(table: pa.Table, rule: Rule) -> pa.Table:
     """Stars of the keys of one bucket."""
     kind = table.column("kind")[0].as_py()
-    columns = [np.concatenate([_wide(x.as_py(), w) for x in table.column(f"c{i}")]) for i, w in enumerate((8, 8, 3, 3))]
+    columns = [np.concatenate([packed.widened(x.as_py(), w) for x in table.column(f"c{i}")]) for i, w in enumerate((8, 8, 3, 3))]
     (a, b), _ = Stars(rule, kind == SUBSETS).fold(columns[0], columns[2].view(np.int64), columns[1].view(np.int64), columns[3].view(np.int64))
     return _edges(LISTS if kind == LISTS else LINKS, a, b)
 
@@ -251,7 +249,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _searched(table: pa.Table, rule: Rule) -> pa.Table:
     """Links inside one cluster (or pair of its blocks): from each set to those it is the first to reach."""
     docs = table.column("doc_id").to_numpy()
-    sets = [_wide(x.as_py(), 6) for x in table.column("own")]
+    sets = [packed.widened(x.as_py(), 6) for x in table.column("own")]
     sizes = np.array([len(s) for s in sets], np.int64)
     order = np.lexsort((docs, sizes))
     docs, sizes = docs[order], sizes[order]
@@ -288,14 +286,9 @@ def _searched(table: pa.Table, rule: Rule) -> pa.Table:
 
 def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    common.ship(spark)
+    common.ship(docs.sparkSession)
     rule = Rule(width, percent)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    least = common.shuffle_partitions(spark)
-    chunks = max(least, -(-size // CHUNK_BYTES))
-    buckets = max(least, -(-size // (6 * BUCKET_ENTRIES)))
-    by_chunk = docs.select(F.pmod(F.xxhash64(docs["doc_id"], docs["text"]), F.lit(chunks)).cast("int").alias("chunk"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    by_chunk, buckets = packed.layout(docs, CHUNKS_TO_BUCKET)
 
     def send(table: pa.Table) -> pa.Table:
         return _sent(table, rule, buckets)

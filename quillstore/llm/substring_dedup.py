@@ -33,15 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, textkit
+from . import common, packed, textkit
 
 WINDOW = 13
 PERIOD = 7
 COVER = (0, 1, 3)
 RUN = WINDOW - PERIOD + 1
-CHUNK_BYTES = 4 << 20
-#: Entries that one bucket sorts at once, about.
-BUCKET_ENTRIES = 2_000_000
+#: Some two million entries at the smallest chunks: three of seven words are sent.
+CHUNKS_TO_BUCKET = 6
 _NO_ID = np.iinfo(np.int64).max
 _RUN_BITS = np.uint64((1 << 48) - 1)
 
@@ -89,44 +88,13 @@ def _sent(table: pa.Table, buckets: int) -> pa.Table:
     chunk = Chunk(table, WINDOW)
     found = [np.unique(h) for _, _, w in chunk.blocks() for h in (_runs(w)[2],) if len(h)]
     hashes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    return _dealt(table.column("chunk")[0].as_py(), hashes, [(hashes & _RUN_BITS)], buckets, (6,))
-
-
-def _dealt(chunk: int, hashes: np.ndarray, columns: list[np.ndarray], buckets: int, widths: tuple[int, ...]) -> pa.Table:
-    """Rows (bucket, chunk, payload, keys): for each bucket the columns of its entries, cut to so many bytes each."""
-    bucket = ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    rows: list[tuple] = []
-    packed = [np.ascontiguousarray(c[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w]) for c, w in zip(columns, widths)]
-    for b in np.flatnonzero(np.diff(bounds)).tolist():
-        rows.append((b, chunk, *[p[bounds[b] : bounds[b + 1]].tobytes() for p in packed]))
-    names = ["bucket", "chunk", *[f"c{i}" for i in range(len(columns))]]
-    return pa.table({n: pa.array([r[i] for r in rows], pa.int32() if i < 2 else pa.binary()) for i, n in enumerate(names)})
-
-
-def _wide(payload: bytes, width: int) -> np.ndarray:
-    n = len(payload) // width
-    out = np.zeros((n, 8), np.uint8)
-    out[:, :width] = np.frombuffer(payload, np.uint8).reshape(n, width)
-    return out.view("<u8").ravel().astype(np.uint64)
-
-
-def _replies(chunks: np.ndarray, columns: list[np.ndarray], widths: tuple[int, ...]) -> pa.Table:
-    order = np.argsort(chunks, kind="stable")
-    chunks = chunks[order]
-    cuts = np.r_[np.flatnonzero(np.r_[True, chunks[1:] != chunks[:-1]]), len(chunks)] if len(chunks) else np.zeros(1, np.int64)
-    packed = [np.ascontiguousarray(c[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w]) for c, w in zip(columns, widths)]
-    out = {"chunk": pa.array(chunks[cuts[:-1]].astype(np.int32), pa.int32())}
-    for i, p in enumerate(packed):
-        out[f"c{i}"] = pa.array([p[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
-    return pa.table(out)
+    return packed.dealt(table.column("chunk")[0].as_py(), hashes, [(hashes & _RUN_BITS)], buckets, (6,))
 
 
 def _meet(table: pa.Table) -> pa.Table:
     """Runs that two chunks sent, for each chunk that did."""
     chunk = table.column("chunk").to_numpy()
-    parts = [_wide(x.as_py(), 6) for x in table.column("c0")]
+    parts = [packed.widened(x.as_py(), 6) for x in table.column("c0")]
     sizes = [len(p) for p in parts]
     hashes = np.concatenate(parts)
     owner = np.repeat(chunk, sizes)
@@ -134,15 +102,15 @@ def _meet(table: pa.Table) -> pa.Table:
     hashes, owner = hashes[order], owner[order]
     same = hashes[1:] == hashes[:-1]
     shared = np.r_[False, same] | np.r_[same, False]
-    return _replies(owner[shared], [hashes[shared]], (6,))
+    return packed.replies(owner[shared], [hashes[shared]], (6,))
 
 
 def _windows_near(table: pa.Table, anchors: pa.Table, buckets: int) -> pa.Table:
     """Whole windows around anchors, each once with the smallest doc_id of the chunk."""
     if not table.num_rows:
-        return _dealt(0, np.zeros(0, np.uint64), [np.zeros(0, np.uint64)] * 3, buckets, (8, 4, 8))
+        return packed.dealt(0, np.zeros(0, np.uint64), [np.zeros(0, np.uint64)] * 3, buckets, (8, 4, 8))
     chunk = Chunk(table, WINDOW)
-    known = np.unique(np.concatenate([_wide(x.as_py(), 6) for x in anchors.column("c0")])) if anchors.num_rows else np.zeros(0, np.uint64)
+    known = np.unique(np.concatenate([packed.widened(x.as_py(), 6) for x in anchors.column("c0")])) if anchors.num_rows else np.zeros(0, np.uint64)
     blocks, runs, keys = [], [], []
     for a, _, words in chunk.blocks():
         doc, at, hashes = _runs(words)
@@ -175,13 +143,13 @@ def _windows_near(table: pa.Table, anchors: pa.Table, buckets: int) -> pa.Table:
     first, second, owner = first[order], second[order], owner[order]
     new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])] if len(first) else np.zeros(0, bool)
     first, second, owner = first[new], second[new], owner[new]
-    return _dealt(table.column("chunk")[0].as_py(), first, [first, second & np.uint64(0xFFFFFFFF), owner.view(np.uint64)], buckets, (8, 4, 8))
+    return packed.dealt(table.column("chunk")[0].as_py(), first, [first, second & np.uint64(0xFFFFFFFF), owner.view(np.uint64)], buckets, (8, 4, 8))
 
 
 def _earlier(table: pa.Table) -> pa.Table:
     """Windows whose smallest doc_id lies in another chunk, for each chunk that holds them."""
     chunk = table.column("chunk").to_numpy()
-    columns = [np.concatenate([_wide(x.as_py(), w) for x in table.column(f"c{i}")]) for i, w in enumerate((8, 4, 8))]
+    columns = [np.concatenate([packed.widened(x.as_py(), w) for x in table.column(f"c{i}")]) for i, w in enumerate((8, 4, 8))]
     sizes = [len(x.as_py()) // 4 for x in table.column("c1")]
     first, second, owner = columns[0], columns[1], columns[2].view(np.int64)
     source = np.repeat(chunk, sizes)
@@ -191,7 +159,7 @@ def _earlier(table: pa.Table) -> pa.Table:
     starts = np.flatnonzero(new)
     least = owner[starts][np.cumsum(new) - 1] if len(first) else owner
     late = owner > least
-    return _replies(source[late], [first[late], second[late]], (8, 4))
+    return packed.replies(source[late], [first[late], second[late]], (8, 4))
 
 
 def _cut(table: pa.Table, earlier: pa.Table) -> pa.Table:
@@ -200,7 +168,7 @@ def _cut(table: pa.Table, earlier: pa.Table) -> pa.Table:
         return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept": pa.array([], pa.large_string())})
     chunk = Chunk(table, WINDOW)
     if earlier.num_rows:
-        gone = [np.concatenate([_wide(x.as_py(), w) for x in earlier.column(f"c{i}")]) for i, w in enumerate((8, 4))]
+        gone = [np.concatenate([packed.widened(x.as_py(), w) for x in earlier.column(f"c{i}")]) for i, w in enumerate((8, 4))]
         gone = np.unique(textkit.mix(gone[0] ^ textkit.mix(gone[1])))
     else:
         gone = np.zeros(0, np.uint64)
@@ -245,13 +213,8 @@ def _digested(table: pa.Table) -> pa.Table:
 
 def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, and kept_text (or with ``digest`` kept_sha256)."""
-    spark = docs.sparkSession
-    common.ship(spark)
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(common.shuffle_partitions(spark), -(-size // CHUNK_BYTES))
-    # About a sixth of the bytes are words' first, and three of seven places are in the cover.
-    buckets = max(common.shuffle_partitions(spark), -(-size // (12 * BUCKET_ENTRIES)))
-    by_chunk = docs.select(F.pmod(F.xxhash64(docs["doc_id"], docs["text"]), F.lit(chunks)).cast("int").alias("chunk"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    common.ship(docs.sparkSession)
+    by_chunk, buckets = packed.layout(docs, CHUNKS_TO_BUCKET)
 
     def send(table: pa.Table) -> pa.Table:
         return _sent(table, buckets)
