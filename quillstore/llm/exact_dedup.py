@@ -6,6 +6,8 @@ kept sorted inside the run, with a count. Filters merge losslessly, because equa
 fingerprints meet at equal places of sorted runs. A hot text weighs one entry in each
 partition's filter, however many copies there are. Fingerprints counted above one route their
 documents to byte verification: grouping by the whole normalised text, with partial sums.
+Repeated fingerprints and verified groups are broadcast while they are few (``common.sized``), and joined by shuffles
+beyond, where Spark splits the partitions of hot fingerprints.
 
 Null texts count as empty. Equal doc_ids with equal texts are one document: every such row
 of the smallest doc_id is marked kept (``drop_duplicates`` keeps exactly one row). A null
@@ -125,19 +127,19 @@ def _prints(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     common.ship(docs.sparkSession)
     norm = normalised(docs["text"])
     base = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), docs["doc_id"].alias("id"), norm.alias("norm"), F.xxhash64(norm).alias("fp"))
-    return base, repeated_fingerprints(base.select("fp"), docs.count())
+    return base, common.sized(common.written(repeated_fingerprints(base.select("fp"), docs.count()), "repeated"))
 
 
 def mark_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, keep_id, group_size, kept, text_sha256."""
     base, repeated = _prints(docs)
-    verified = (
+    verified = common.written(
         base.select("id", "norm", "fp").join(repeated, "fp", "left_semi")
         .groupBy("fp", "norm").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-        .select("fp", F.sha2("norm", 256).alias("sha"), "first_id", "copies")
+        .select("fp", F.sha2("norm", 256).alias("sha"), "first_id", "copies"), "verified",
     )
     rows = base.select("id", "fp", F.sha2("norm", 256).alias("sha"))
-    joined = rows.join(verified, ["fp", "sha"], "left")
+    joined = rows.join(common.sized(verified), ["fp", "sha"], "left")
     keep = F.when(F.col("copies").isNull(), F.col("id")).otherwise(F.col("first_id"))
     return joined.select(
         F.col("id").alias("doc_id"), keep.alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
