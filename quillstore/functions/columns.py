@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
 import pyarrow as pa
@@ -19,6 +21,19 @@ MAX_LIMIT = 1000
 CANONICAL = T.StructType([T.StructField("doc", T.StringType()), T.StructField("fields", T.MapType(T.StringType(), T.StringType())), T.StructField("error", T.StringType())])
 
 
+BAD_NAME = "a collection's name is 1 to 64 letters, digits, _ or -"
+BAD_ID = "an id is 1 to 256 bytes without control characters"
+
+
+def naming_problem(collection: str, id: str | None = None) -> str | None:
+    """The same checks for one name, on the driver."""
+    if not re.fullmatch(r"[A-Za-z0-9_-]{1,64}", collection):
+        return BAD_NAME
+    if id is not None and not (1 <= len(id.encode()) <= MAX_ID_BYTES and all(unicodedata.category(c) != "Cc" for c in id)):
+        return BAD_ID
+    return None
+
+
 def valid_collection(name: Column) -> Column:
     """1 to 64 ASCII letters, digits, ``_`` or ``-``; false for null."""
     return F.coalesce(name.rlike(r"\A[A-Za-z0-9_-]{1,64}\z"), F.lit(False))
@@ -56,7 +71,8 @@ def _long_match(path: str, wanted: str):
     return match
 
 
-def _canonical(text: str | None) -> dict:
+def canonical(text: str | None) -> dict:
+    """doc, fields (as pairs) and error of one text."""
     try:
         if text is None:
             raise jsontext.JsonTextError("no text")
@@ -75,4 +91,4 @@ def _canonical(text: str | None) -> dict:
 def canonicalise(text: pa.Array) -> pa.Array:
     """Canonical document, its flattened fields, or what is wrong with the text."""
     kind = pa.struct([("doc", pa.string()), ("fields", pa.map_(pa.string(), pa.string())), ("error", pa.string())])
-    return pa.array([_canonical(t) for t in text.to_pylist()], kind)
+    return pa.array([canonical(t) for t in text.to_pylist()], kind)

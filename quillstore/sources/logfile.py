@@ -132,6 +132,22 @@ def read_logs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("collection_logs").load(folder)
 
 
+def report(spark: SparkSession, folder: str) -> DataFrame:
+    """For each log (collection, records, bytes, cut_at, damage): where its torn end begins, if it has one, or why it is refused. Files stay as they are."""
+
+    def look(item: tuple[str, str]) -> tuple:
+        data = Path(item[1]).read_bytes()
+        try:
+            records, at = decode(data)
+        except DamagedLog as e:
+            return item[0], None, len(data), None, str(e)
+        return item[0], len(records), len(data), at if at < len(data) else None, None
+
+    logs = [(name, str(path)) for name, path in log_files(folder).items()]
+    found = spark.sparkContext.parallelize(logs, max(1, len(logs))).map(look)
+    return spark.createDataFrame(found, "collection string, records bigint, bytes bigint, cut_at bigint, damage string")
+
+
 def export(current: DataFrame, folder: str) -> None:
     """Write one log of puts for each collection, streaming rows through the driver in id order."""
     Path(folder).mkdir(parents=True, exist_ok=True)

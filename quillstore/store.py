@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,13 @@ from .operators.listing import InvalidRequest
 from .schema import part_of
 from .sources.mutation_log import MutationLog
 
-_INPUT = "collection string, pos bigint, id string, text string"
+_MUTATION = "collection string, pos bigint, op string, id string, doc string, fields map<string,string>"
+
+
+def _checked(collection: str, id: str | None = None) -> None:
+    problem = C.naming_problem(collection, id)
+    if problem:
+        raise InvalidRequest(problem)
 
 
 class Store:
@@ -48,8 +55,7 @@ class Store:
         rows = texts if "pos" in texts.columns else texts.withColumn("pos", F.lit(0))
         checked = rows.select("collection", "pos", "id", "text", C.canonicalise("text").alias("read")).select(
             "collection", "pos", "id", "text", "read.*",
-            F.when(~C.valid_collection(F.col("collection")), F.lit("a collection's name is 1 to 64 letters, digits, _ or -"))
-            .when(~C.valid_id(F.col("id")), F.lit("an id is 1 to 256 bytes without control characters")).alias("named"),
+            F.when(~C.valid_collection(F.col("collection")), F.lit(C.BAD_NAME)).when(~C.valid_id(F.col("id")), F.lit(C.BAD_ID)).alias("named"),
         )
         checked = checked.withColumn("error", F.coalesce("named", "error")).persist()
         try:
@@ -59,10 +65,9 @@ class Store:
             names = [r["collection"] for r in good.select("collection").distinct().collect()]
             if names:
                 self.log.append(good.withColumn("op", F.lit("put")), names)
-            bad = checked.where("error IS NOT NULL").select("collection", "id", "text", "error").collect()
+            return self._kept(checked.where("error IS NOT NULL").select("collection", "id", "text", "error"), "refused")
         finally:
             checked.unpersist()
-        return self.spark.createDataFrame(bad, "collection string, id string, text string, error string")
 
     def delete_all(self, wanted: DataFrame) -> DataFrame:
         """Delete the (collection, id) rows of ``wanted``; (collection, id, deleted) says whether each was there. Absent ones aren't logged."""
@@ -76,18 +81,30 @@ class Store:
             names = [r["collection"] for r in gone.select("collection").distinct().collect()]
             if names:
                 self.log.append(gone.select("collection", F.lit(0).alias("pos"), F.lit("delete").alias("op"), "id", F.lit(None).cast("string").alias("doc"), F.lit(None).cast("map<string,string>").alias("fields")), names)
-            rows = found.collect()
+            return self._kept(found, "answers")
         finally:
             found.unpersist()
-        return self.spark.createDataFrame(rows, "collection string, id string, deleted boolean")
+
+    def _kept(self, rows: DataFrame, folder: str) -> DataFrame:
+        """What a batch answers, in a folder of its own: it may be as large as the batch."""
+        path = f"{self.log.root}/{folder}/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def put(self, collection: str, id: str, text: str) -> None:
-        refused = self.put_all(self.spark.createDataFrame([(collection, 0, id, text)], _INPUT)).collect()
-        if refused:
-            raise InvalidRequest(refused[0]["error"])
+        _checked(collection, id)
+        read = C.canonical(text)
+        if read["error"]:
+            raise InvalidRequest(read["error"])
+        row = (collection, 0, "put", id, read["doc"], dict(read["fields"]))
+        self.log.append(self.spark.createDataFrame([row], _MUTATION), [collection])
 
     def delete(self, collection: str, id: str) -> bool:
-        return self.delete_all(self.spark.createDataFrame([(collection, id)], "collection string, id string")).first()["deleted"]
+        _checked(collection, id)
+        if self.get(collection, id) is None:
+            return False
+        self.log.append(self.spark.createDataFrame([(collection, 0, "delete", id, None, None)], _MUTATION), [collection])
+        return True
 
     def compact(self) -> None:
         """Replace the log by its live documents. Collections without documents stay known."""
@@ -119,8 +136,7 @@ class Store:
     def list(self, collection: str, filters: Iterable[tuple[str, str]] = (), after: str | None = None, limit: int = 100) -> tuple[list[tuple[str, str]], str | None]:
         """One page in id order, and the id to go on after, if there is more."""
         filters = list(filters)
-        if not self.spark.range(1).select(C.valid_collection(F.lit(collection))).first()[0]:
-            raise InvalidRequest("a collection's name is 1 to 64 letters, digits, _ or -")
+        _checked(collection)
         listing.checked_limit(limit)
         docs = self.current(("doc", "fields") if filters else ("doc",), collection)
         return listing.page_and_next(docs, filters, after, limit)

@@ -42,6 +42,12 @@ def test_import_and_export(spark, tmp_path):
     (tmp_path / "in" / "bad name.log").write_bytes(b"junk")
     rows = L.read_logs(spark, str(tmp_path / "in"))
     assert [(r["collection"], r["pos"], r["op"], r["id"]) for r in rows.orderBy("pos").collect()] == [("c", 0, "put", "a"), ("c", 1, "put", "b"), ("c", 2, "delete", "a"), ("c", 3, "put", "d")]
+    (tmp_path / "in" / "torn.log").write_bytes(WHOLE + b"\0\0\0")
+    (tmp_path / "in" / "bad.log").write_bytes(b"\1\0\0\0xxxx!" + WHOLE)
+    seen = {r["collection"]: (r["records"], r["bytes"], r["cut_at"], r["damage"] is None) for r in L.report(spark, str(tmp_path / "in")).collect()}
+    assert seen == {"c": (4, len(WHOLE), None, True), "torn": (4, len(WHOLE) + 3, len(WHOLE), True), "bad": (None, len(WHOLE) + 9, None, False)}
+    (tmp_path / "in" / "torn.log").unlink()
+    (tmp_path / "in" / "bad.log").unlink()
     with Store(spark, str(tmp_path / "s")) as store:
         store.put_all(rows.where("op = 'put'").drop("op"))
         store.delete("c", "a")
