@@ -125,12 +125,11 @@ def randomness(value: str, symbols: str) -> float:
     return math.exp(-half) * sum(half**i / math.factorial(i) for i in range(len(ps)))
 
 
-def text_p(value: str, symbols: str, frequencies: dict[str, float]) -> float:
-    """-log10 of the bound on the p-value under the hypothesis that the letters are those of text."""
+def against_text(value: str, symbols: str, frequencies: dict[str, float]) -> float:
+    """-log10 of the bound on the p-value under the hypothesis that the letters are those of text; 0 if it is no evidence."""
     letters = [c for c in symbols if c in string.ascii_letters]
     even = 1 / len(letters)
-    ratio = sum(math.log10(even / frequencies[c]) for c in value if c in frequencies)
-    return max(0.0, ratio)
+    return max(0.0, sum(math.log10(even / frequencies[c]) for c in value if c in frequencies))
 
 
 def _band(n: int) -> int:
@@ -223,7 +222,7 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
                 for c in candidates or ():
                     _, symbols = infer_encoding(c["value"])
                     if randomness(c["value"], symbols) >= LEVEL:
-                        evidence = text_p(c["value"], symbols, shared.value)
+                        evidence = against_text(c["value"], symbols, shared.value)
                         mine.append({"start": c["start"], "end": c["end"], "band": _band(len(c["value"])), "bin": min(BINS - 1, int(evidence * 10))})
                     else:
                         mine.append({"start": c["start"], "end": c["end"], "band": _band(len(c["value"])), "bin": 0})
