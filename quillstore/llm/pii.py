@@ -2,8 +2,8 @@
 
 Seeds are the matches of four base patterns: email, ip, card (12 to 19 digits, Luhn) and
 phone (9 to 15 digits). Other identifier-like words (runs of letters, digits and ``_@.+-`` with
-at least four digits or an ``@``) are candidates. A lexical pattern is the word before, the two
-words before, or the words on both sides, together with the shape of the identifier (digits as
+at least four digits or an ``@``) are candidates. A lexical pattern is the two words before, the words on
+both sides, or the one word before together with the shape of the identifier (digits as
 ``9``, letters as ``a``, runs at most four long). Pattern-instance links form a graph that is scored in rounds:
 
 * a pattern's score for a kind is the mean score of its distinct instances, shrunk by ``SHRINK`` of no
@@ -128,11 +128,9 @@ def _occurrences(spans: DataFrame) -> DataFrame:
     after = F.regexp_extract(plain(F.col("right")), r"^([^\s\p{L}]{0,3}\s*\S+)", 1)
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[0-9]", "9"), r"\p{L}", "a"), r"(9|a)\1{3,}", "$1$1$1$1")
     contexts = F.array(
-        F.when(one != "", F.concat(F.lit("1|"), one)), F.when(two != "", F.concat(F.lit("2|"), two)), F.when((one != "") & (after != ""), F.concat(F.lit("b|"), one, F.lit("|"), after))
-    )
-    return each.select("row", "start", "end", "no", F.xxhash64("value").alias("instance"), shape.alias("shape"), F.explode(F.array_compact(contexts)).alias("context")).select(
-        "row", "start", "end", "no", "instance", F.xxhash64("context", "shape").alias("pattern")
+        F.when(one != "", F.xxhash64(F.lit("1"), one, shape)), F.when(two != "", F.xxhash64(F.lit("2"), two)), F.when((one != "") & (after != ""), F.xxhash64(F.lit("b"), one, after))
     )
+    return each.select("row", "start", "end", "no", F.xxhash64("value").alias("instance"), F.explode(F.array_compact(contexts)).alias("pattern"))
 
 
 def accepted_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:

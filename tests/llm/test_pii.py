@@ -33,11 +33,12 @@ def test_context_discovers_what_the_patterns_miss(spark):
     mail = lambda: f"write mail: user{r.randint(100, 999)}@host{r.randint(10, 99)}.example.com now"
     rows = [(i, seed() if i % 2 else mail()) for i in range(80)]
     rows += [(100 + i, f"write mail: user{i + 100}@host55.example.com now") for i in range(3)] + [(200, "room 123456 is open"), (201, None), (None, "x")]
-    # A local address has no dot, so that no base pattern takes it; its shape is that of no seed.
-    rows += [(300, "write mail: user123@host12 now")]
+    # Neither has a form that a base pattern takes; their contexts are those of the seeds.
+    rows += [(300, "write mail: user123@host12 now"), (301, "call phone: 743-555-3824 today"), (302, "read mail: user123@host12 later")]
     out = {x.doc_id: x for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[200].spans == "" and out[201].spans == "" and out[None].spans == ""
     assert out[100].n_email == 1
+    assert out[300].spans == "email:12:26" and out[301].spans == "phone:12:24" and out[302].spans == ""
 
 
 def test_patterns_take_unseen_identifiers(spark):
