@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.jsontext import MAX_DOC_BYTES
+from ..shipping import ship
 
 # Fixed values of the format.
 PUT, DELETE = 1, 2
@@ -128,6 +129,7 @@ class CollectionLogs(DataSource):
 
 
 def read_logs(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(CollectionLogs)
     return spark.read.format("collection_logs").load(folder)
 
@@ -143,6 +145,7 @@ def report(spark: SparkSession, folder: str) -> DataFrame:
             return item[0], None, len(data), None, str(e)
         return item[0], len(records), len(data), at if at < len(data) else None, None
 
+    ship(spark)
     logs = [(name, str(path)) for name, path in log_files(folder).items()]
     found = spark.sparkContext.parallelize(logs, max(1, len(logs))).map(look)
     return spark.createDataFrame(found, "collection string, records bigint, bytes bigint, cut_at bigint, damage string")

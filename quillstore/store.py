@@ -13,6 +13,7 @@ from .functions import jsontext
 from .operators import listing, state
 from .operators.listing import InvalidRequest
 from .schema import part_of
+from .shipping import ship
 from .sources.mutation_log import MutationLog
 
 _MUTATION = "collection string, pos bigint, op string, id string, doc string, fields map<string,string>"
@@ -33,6 +34,7 @@ class Store:
     """
 
     def __init__(self, spark: SparkSession, root: str):
+        ship(spark)
         self.spark = spark
         self.log = MutationLog(spark, root)
 
