@@ -1,17 +1,14 @@
-"""Helpers that several operators share: reading tables, shipping code, shared folders."""
+"""Helpers that several operators share: reading tables, shared folders, sizes."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
+from ..shipping import ship  # noqa: F401  the operators' own name for it
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,26 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers, once per application."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    archive = os.path.join(tempfile.mkdtemp(), "quillstore.zip")
-    with zipfile.ZipFile(archive, "w") as z:
-        for path in sorted(package.rglob("*.py")):
-            z.write(path, str(path.relative_to(package.parent)))
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/quillstore-shared"
-        spark.conf.set("spark.checkpoint.dir", found)
+    found = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quillstore-shared"
     return found.rstrip("/")
 
 
