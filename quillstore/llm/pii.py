@@ -67,7 +67,7 @@ def _valid(kind: str, value: Column) -> Column:
 
 def _may_hold(kind: str, text: Column) -> Column:
     """A cheap test that spares most texts the pattern."""
-    return text.contains("@") if kind == "email" else text.contains("+") if kind == "phone" else text.rlike("[0-9]")
+    return text.contains("@") if kind == "email" else text.contains("+") if kind == "phone" else text.rlike("[0-9@]" if kind == "candidate" else "[0-9]")
 
 
 def _total(lengths: Column, n: Column) -> Column:
