@@ -92,15 +92,22 @@ def _grown(array: np.ndarray, n: int) -> np.ndarray:
     return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
 
 
+def _folded(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z, but for capitals before a byte that isn't ASCII: a mark may follow that composes with one case only."""
+    upper = (data >= 65) & (data <= 90)
+    upper[:-1] &= data[1:] < 128
+    return data + (upper * np.uint8(32))
+
+
 def segments_of(data: np.ndarray, offsets: np.ndarray) -> textkit.Words:
-    """Pieces of the block's texts that the tokenizer never joins, hashed without regard to ASCII case.
+    """Pieces of the block's texts that the tokenizer never joins, in lower case where that can't change their ids.
 
     Its pre-tokenizer ends a run of letters at any other character and begins one after any
-    but an apostrophe; its normaliser lower-cases and composes nothing onto ASCII characters.
+    but an apostrophe; its normaliser composes first, nothing across the cuts, and lower-cases then.
     Special strings would be cut or change their case, so blocks that may hold one are cut at white space only.
     """
     plain = b"<|" in data.tobytes()
-    return textkit.Words(data, offsets, lower=not plain, cut=not plain)
+    return textkit.Words(data if plain else _folded(data), offsets, cut=not plain)
 
 
 def distinct(words: textkit.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -113,8 +120,6 @@ def distinct(words: textkit.Words) -> tuple[np.ndarray, np.ndarray]:
 
 def segment_bytes(words: textkit.Words, at: np.ndarray) -> list[bytes]:
     raw = words.data.tobytes()
-    if b"<|" not in raw:
-        raw = raw.lower()
     return [raw[a:b] for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist())]
 
 

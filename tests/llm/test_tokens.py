@@ -35,6 +35,20 @@ def test_counts_are_the_tokenizers(spark, tokenizer):
     assert got == sorted(((i, len((t or "").encode()), n(t), n(t) > 2048) for i, t in rows), key=str)
 
 
+@pytest.mark.parametrize("letter", ["H\u0331", "J\u030c", "T\u0308", "W\u030a", "Y\u030a", "T\u0308\u0301"])
+@pytest.mark.parametrize("around", ["{}", "The {} THE", "A{}B c'{}", "({}) É{}-{}x"])
+def test_capitals_that_compose_only_as_small_letters(tokenizer, letter, around):
+    texts = [around.replace("{}", x) for x in (letter, letter.lower(), letter[0])] + ["\u030c", "The"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+    words, encoder = token_counts.segments_of(data, offsets), token_counts.SegmentEncoder(tokenizer_path())
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, bounds = packing.encode_block(words, encoder, 1)
+    assert [ids[a : b - 1].tolist() for a, b in zip(bounds, bounds[1:])] == want
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16))
+    assert token_counts.count_words(words, none, encoder).tolist() == [len(x) for x in want]
+
+
 def test_a_small_table_changes_nothing(spark, tokenizer):
     rows = list(enumerate(texts()))
     df = frame(spark, rows)
