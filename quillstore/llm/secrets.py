@@ -2,8 +2,9 @@
 
 Base kinds are assign, access and hex. Candidates for the battery are the maximal runs of
 ``A-Za-z0-9+/_-`` of at least ``LEAST`` characters that mix letters and digits and overlap no
-base span. For each the narrowest encoding that holds it is inferred (hex, base32, base36, base62, base64,
-base64url), its characters become symbol numbers, and three tests ask whether they are drawn evenly:
+base span. A run that fits no encoding, since it mixes + or / with - or _, is replaced by its
+maximal parts without + and / and those without - and _, under the same rules. For each candidate
+the narrowest encoding that holds it is inferred (hex, base32, base36, base62, base64, base64url), its characters become symbol numbers, and three tests ask whether they are drawn evenly:
 chi-squared over the alphabet, runs about the alphabet's middle, and serial correlation at lag
 one. Fisher's method combines the three; a string whose combined p is under ``LEVEL`` isn't random.
 
@@ -13,7 +14,7 @@ texts of the table (counted whole). Its inverse bounds the p-value under the tex
 (Markov's inequality), which is the smaller the longer the string. The procedure of Benjamini
 and Hochberg holds the false-discovery rate at ``RATE`` in each band of lengths, over all candidates of the
 table: their p-values are counted in histograms of fixed size, so the driver sees a few hundred numbers
-at any scale.
+at any scale. Parts of a run may overlap; each counts as a test, and each that is accepted is a span of its own.
 
 Null texts count as empty. Rows come back as they came in, with null or repeated doc_ids. Extra
 columns are ignored; an empty table gives an empty result. Very long texts are scanned whole.
@@ -93,6 +94,16 @@ def infer_encoding(value: str) -> tuple[str, str] | None:
     return next(((name, symbols) for name, symbols, all_of in _ENCODINGS if held <= all_of), None)
 
 
+_PARTS = tuple(re.compile(rf"[A-Za-z0-9{more}]{{{LEAST},}}") for more in ("_-", "+/"))
+
+
+def testable(run: str) -> list[tuple[int, int]]:
+    """Bounds of what is tested of a run: all of it if an encoding holds it, else its long parts that one holds."""
+    if infer_encoding(run):
+        return [(0, len(run))]
+    return sorted({m.span() for part in _PARTS for m in part.finditer(run) if infer_encoding(m[0])})
+
+
 def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -176,8 +187,9 @@ def scan(docs: DataFrame) -> DataFrame:
                         s, e = s - int(offsets[d]), e - int(offsets[d])
                         seen, at = seen + len(own[at:s].decode("utf-8", "replace")), s
                         value = own[s:e].decode("ascii")
-                        if not any(x < seen + len(value) and seen < y for _, x, y in found) and infer_encoding(value):
-                            candidates[a + d].append({"start": seen, "end": seen + len(value), "value": value})
+                        for begin, end in testable(value):
+                            if not any(x < seen + end and seen + begin < y for _, x, y in found):
+                                candidates[a + d].append({"start": seen + begin, "end": seen + end, "value": value[begin:end]})
             yield pa.RecordBatch.from_arrays([pa.array([None] * len(text), pa.list_(pa.int64())), batch.column("doc_id"), pa.array(base, _BASE), pa.array(candidates, _CANDIDATES)], ["letters", "doc_id", "base", "candidates"])
         yield pa.RecordBatch.from_arrays([pa.array([letters.tolist()], pa.list_(pa.int64())), pa.array([None], pa.int64()), pa.array([None], _BASE), pa.array([None], _CANDIDATES)], ["letters", "doc_id", "base", "candidates"])
 

@@ -41,6 +41,28 @@ def test_random_strings_are_found_and_text_is_left_alone(spark):
     assert sum(bool(out[100 + i]) for i in range(60)) <= 3
 
 
+def test_keys_in_runs_that_fit_no_encoding(spark):
+    r = random.Random(8)
+    key = lambda more="": "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more) for _ in range(40))
+    prose = " ".join(["it was the order in the tale that went on and on"] * 20)
+    plain, url, standard = [key() for _ in range(20)], [key("-_-_-_") for _ in range(20)], [key("+/+/+/") for _ in range(20)]
+    rows = [(i, f"é {prose} https://host/my_app/{k} {prose}", k) for i, k in enumerate(plain)]
+    rows += [(20 + i, f"{prose} https://host/{k}/of+it {prose}", k) for i, k in enumerate(url)]
+    rows += [(40 + i, f"{prose} the_{k}-it {prose}", k) for i, k in enumerate(standard)]
+    rows += [(60, "https://host/my_app/one-of-the-long-stories-of-the/year-2024-and-the-next", "?")]
+    out = {x.doc_id: x.spans for x in secrets.find_secrets(frame(spark, [x[:2] for x in rows])).collect()}
+    assert out[60] == ""
+    for kind in (rows[:20], rows[20:40], rows[40:60]):
+        assert sum(f"random:{t.index(k)}:{t.index(k) + 40}" in out[i].split(",") for i, t, k in kind) >= 17
+
+
+def test_parts_of_runs():
+    a, b = "a1" * 10, "B2" * 10
+    cut = lambda run: [run[x:y] for x, y in secrets.testable(run)]
+    assert cut(f"{a}/{b}") == [f"{a}/{b}"] and cut(f"x_/{a}") == [a, "/" + a][::-1]
+    assert set(cut(f"{a}/{b}-c")) == {a, f"{b}-c", f"{a}/{b}"} and cut("ab/cd-" * 9) == [] and cut("a1/b2-" * 9) == []
+
+
 def test_the_battery():
     r = random.Random(1)
     hexes = "0123456789abcdef"
