@@ -139,17 +139,16 @@ def accepted_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame
     graph = common.written(occurrences.groupBy("pattern", "instance").agg(*[F.max((F.col("no") == k).cast("double")).alias(f"seed{k}") for k in kinds]), "graph")
     seeds = [f"seed{k}" for k in kinds]
     counted = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("instances"), *[F.sum(s).alias(f"n_{s}") for s in seeds])
-    # Patterns without enough seeds of one kind can't be accepted; their score can't rise above the rest's.
-    hopeful = common.written(counted.where(F.greatest(*[F.col(f"n_{s}") for s in seeds]) >= SUPPORT), "patterns")
-    links = common.written(graph.join(hopeful.select("pattern"), "pattern", "left_semi"), "graph")
+    # Patterns without enough seeds of one kind can't be accepted, but they carry scores to the rest.
+    hopeful = counted.where(F.greatest(*[F.col(f"n_{s}") for s in seeds]) >= SUPPORT)
     scores = None
     for _ in range(rounds):
         if scores is None:
-            now = links.select("pattern", *[F.col(s).alias(f"x{k}") for k, s in enumerate(seeds)])
+            now = graph.select("pattern", *[F.col(s).alias(f"x{k}") for k, s in enumerate(seeds)])
         else:
-            best = links.join(scores, "pattern").groupBy("instance").agg(*[F.max(f"score{k}").alias(f"best{k}") for k in kinds])
+            best = graph.join(scores, "pattern").groupBy("instance").agg(*[F.max(f"score{k}").alias(f"best{k}") for k in kinds])
             seeded = F.greatest(*seeds) > 0
-            now = links.join(best, "instance").select("pattern", *[F.when(seeded, F.col(s)).otherwise(F.col(f"best{k}")).alias(f"x{k}") for k, s in enumerate(seeds)])
+            now = graph.join(best, "instance").select("pattern", *[F.when(seeded, F.col(s)).otherwise(F.col(f"best{k}")).alias(f"x{k}") for k, s in enumerate(seeds)])
         scores = common.written(now.groupBy("pattern").agg(*[(F.sum(f"x{k}") / (F.count(F.lit(1)) + SHRINK)).alias(f"score{k}") for k in kinds]), "scores")
     rows = scores.join(hopeful, "pattern").select("pattern", F.array_max(F.array(*[F.when(F.col(f"n_seed{k}") >= SUPPORT, F.struct(F.col(f"score{k}").alias("score"), F.lit(k).alias("kind"))) for k in kinds])).alias("top"))
     return rows.select("pattern", "top.kind", "top.score").where(F.col("score") >= ACCEPT)

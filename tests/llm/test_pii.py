@@ -58,6 +58,16 @@ def test_patterns_take_unseen_identifiers(spark):
     assert out[99] == "card:10:26"
 
 
+def test_patterns_with_few_seeds_carry_scores(spark):
+    # Pattern 2 has 4 seeds, too few to be accepted, but lifts its 8 candidates that pattern 1 shares.
+    kind, free = 0, len(pii.KINDS)
+    links = [(1, f"s{i}", kind) for i in range(10)] + [(2, f"t{i}", kind) for i in range(4)] + [(3, f"u{i}", kind) for i in range(400)]
+    links += [(p, f"c{i}", free) for p in (1, 2) for i in range(8)] + [(p, f"d{i}", free) for p in (2, 3) for i in range(20)]
+    occurrences = spark.createDataFrame(links, "pattern long, instance string, no int")
+    got = {r.pattern: (r.kind, round(r.score, 2)) for r in pii.accepted_patterns(occurrences).collect()}
+    assert got.keys() == {1, 3} and got[1] == (0, 0.82)
+
+
 def test_an_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_personal_data(df).count() == 0
