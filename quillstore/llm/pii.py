@@ -42,7 +42,7 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_CANDIDATE = r"(?<![A-Za-z0-9_@.+-])(?:(?=(?:[A-Za-z_@.+-]*+[0-9]){4})|(?=[A-Za-z0-9_.+-]++@))[A-Za-z0-9_@.+-]{6,}+"
+_CANDIDATE = r"(?<![A-Za-z0-9_@.+-])(?:(?=(?:[A-Za-z_@.+-]*+[0-9]){4})|(?=[A-Za-z0-9_.+-]++@))[A-Za-z0-9_@.+-]++"
 
 
 def _luhn(digits: Column) -> Column:

@@ -49,6 +49,14 @@ def test_context_discovers_in_texts_without_digits(spark):
     assert out[300] == "email:12:26" and out[301] == ""
 
 
+def test_context_discovers_short_identifiers(spark):
+    r = random.Random(6)
+    rows = [(i, f"write mail: user{r.randint(100, 999)}@host{r.randint(10, 99)}.example.com now") for i in range(60)]
+    rows += [(300, "write mail: a@b12 now"), (301, "write mail: 12345 now"), (302, "write mail: 1234 now"), (303, "write mail: 123 now"), (304, "read mail: a@b12 later")]
+    out = {x.doc_id: x.spans for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[i] for i in range(300, 305)] == ["email:12:17", "email:12:17", "email:12:16", "", ""]
+
+
 def test_patterns_take_unseen_identifiers(spark):
     rows = [(i, f"the card: {n} was used") for i, n in enumerate(["4111111111111111", "5500000000000004", "4012888888881881", "5105105105105100", "378282246310005", "371449635398431", "6011111111111117", "3530111333300000", "4222222222222220"] * 2)]
     base = [x for x in rows if brute.pii(x[1])]
