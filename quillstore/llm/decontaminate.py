@@ -2,7 +2,8 @@
 
 Words are runs of letters and digits, lower-cased; a shingle is five of them in a row (a text
 with fewer words is one shingle of all its words). An item is found in a document that
-holds at least 80 percent of the item's distinct shingles.
+holds at least 80 percent of the item's distinct shingles. So an item of fewer than five words is found only
+in texts of exactly its words, not inside longer ones, which have shingles of five words alone.
 
 Items are partitioned by size, in powers of two. The MinHash sketch of an item is its
 smallest shingle hashes, as many as its partition needs for certainty: a document that lacks
