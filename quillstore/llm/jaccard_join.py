@@ -5,17 +5,29 @@
    overlap: a set with more of them than the threshold leaves room for links with nothing.
 2. Equal sets of a chunk fold into their smallest doc_id. Light sets, for which listing all
    subsets of the least overlap is cheaper than scanning lists, send the hashes of those
-   fixed-size subsets: sharing one *is* the link. Heavy sets send inverted-list entries for
-   their rarest shingles (as many as any partner must share one of). Entries of one key
-   fold into a star around its smallest member, in the chunk and again in the bucket, so a key in a
-   third of all documents weighs one entry a chunk.
-3. Heavy sets connected by lists form clusters; in each, a search goes from set to set and
-   counts overlaps exactly with the sets not yet reached, within the possible sizes. Clusters
-   beyond ``CLUSTER_ELEMENTS`` are dealt into blocks, each pair of blocks being one task. Pairs
-   are never written; a search gives at most one link for each set.
+   fixed-size subsets: sharing one *is* the link. Heavy sets send entries of inverted lists. The
+   list of a single shingle holds unrelated texts wherever shingles are common, so a list's key is
+   the content of one *part*: shingles are dealt by hash into one part more than two linked sets
+   of a size class can differ in, so linked sets agree wholly in one part at least. A part without
+   shingles says nothing, so it is joined with each of the set's rarest shingles (as many as any partner must
+   share one of). Entries of one key fold into a star around its smallest member, in the chunk and again
+   in the bucket, so a key in a third of all documents weighs one entry a chunk.
+3. Stars connect heavy sets to clusters, which only say what travels together: each set is
+   compared with those alone that share one of its lists, whose size allows a link, and which the search has not yet
+   reached; overlaps are counted on whole 64-bit shingles, each pair once. Small clusters share
+   tasks. Larger ones (``BLOCK_SETS``, ``CLUSTER_ELEMENTS``) are dealt into blocks, each searched
+   together with a few hubs of its cluster. Sets of one class need no more comparing, so only
+   those outside their cluster's largest class are then held against the rest: list by list, or block by block, whichever copies fewer sets.
 4. Components over all links give each document the smallest doc_id it reaches.
 
-No link between different texts is lost: each filter follows from the threshold alone.
+No link between different texts is lost: each filter follows from the threshold alone. So unrelated texts over
+common shingles cost what their own sets cost, and near copies that link cost a few hubs each. What stays
+quadratic is a group of many sets that all share parts and yet don't link (similar by some 70 percent at a threshold
+of 90; at 80 percent parts are half as large, and sets that share a third may meet): it is compared block by block or list by
+list, so its time grows, and no task's memory.
+
+Shingles are equal when 64 bits of hash agree; within one pair of sets of n shingles that errs with a chance under
+n * n / 2**64. Subsets and equal sets are matched over the whole corpus, by 128 bits.
 
 Null or empty texts have empty sets and link with nothing. Texts with fewer words than a
 shingle are one shingle. Rows with a null doc_id link with nothing and have a null class.
@@ -24,6 +36,7 @@ Rows that share a doc_id are one node. Extra columns are ignored; an empty table
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,8 +51,13 @@ from . import common, graph, packed, textkit
 
 #: Some two million entries at the smallest chunks: each word begins a shingle.
 CHUNKS_TO_BUCKET = 3
+#: Of a task of the search: shingles at most (one longer set is a block), and sets of one cluster.
 CLUSTER_ELEMENTS = 2_000_000
+BLOCK_SETS = 256
+#: Sets of a large cluster that every block is held against, about.
+HUBS = 32
 _LOW = np.uint64((1 << 40) - 1)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of what a chunk sends: documents, list entries, subset hashes, links found, sets.
 DOCS, LISTS, SUBSETS, LINKS, SETS = range(5)
 
@@ -51,7 +69,7 @@ class Rule:
     width: int
     percent: int
 
-    def spare(self, n: int) -> int:
+    def spare(self, n):
         """Most shingles of a set of n that a partner can lack."""
         return n * (100 - self.percent) // 100
 
@@ -68,6 +86,48 @@ class Rule:
             n += 1
         return n
 
+    @functools.cached_property
+    def size_classes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where size classes begin, and the parts of each.
+
+        A linked set is at most 100 / percent times as large, so it is in the same class or the next. Pairs meet under the
+        larger one's class, whose sizes are all under the next class's beginning: that bounds their difference.
+        """
+        starts = [1]
+        while starts[-1] < 1 << 40:
+            starts.append(starts[-1] * 100 // self.percent + 1)
+        most = np.array(starts[1:], np.int64) - 1
+        return np.array(starts[:-1], np.int64), (100 - self.percent) * 2 * most // (100 + self.percent) + 1
+
+    def lists(self, sizes: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the lists that sets are in, and which set each is of.
+
+        Set k has sizes[k] shingles, of which flat[bounds[k]:bounds[k + 1]] may be in others, rarest first.
+        """
+        starts, parts = self.size_classes
+        every, held = np.arange(len(sizes)), np.diff(bounds)
+        owner, own = np.repeat(every, held), np.searchsorted(starts, sizes, side="right") - 1
+        mixed = textkit.mix(flat ^ _GOLDEN)
+        prefix = np.minimum(self.spare(sizes) - (sizes - held) + 1, held)
+        keys, owners = [], []
+        for label in (own, own + 1):
+            number = parts[label]
+            first = np.r_[0, np.cumsum(number)]
+            cell = first[owner] + ((mixed >> np.uint64(32)) % number[owner].astype(np.uint64)).astype(np.int64)
+            total = np.zeros(int(first[-1]), np.uint64)
+            np.add.at(total, cell, mixed)
+            of = np.repeat(every, number)
+            name = textkit.mix(((label[of] << 40) + np.arange(len(of)) - first[of]).astype(np.uint64) + _GOLDEN)
+            full = np.bincount(cell, minlength=len(of)) > 0
+            keys.append(textkit.mix(total[full] ^ name[full]))
+            owners.append(of[full])
+            bare = np.flatnonzero(~full)
+            each = prefix[of[bare]]
+            at = np.repeat(bounds[of[bare]] - np.r_[0, np.cumsum(each)][:-1], each) + np.arange(int(each.sum()))
+            keys.append(textkit.mix(flat[at] + np.repeat(name[bare] * _GOLDEN, each)))
+            owners.append(np.repeat(of[bare], each))
+        return np.concatenate(keys), np.concatenate(owners)
+
 
 def _sets(text: pa.Array, rule: Rule) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each document."""
@@ -110,60 +170,67 @@ def _counted(table: pa.Table) -> pa.Table:
     return out.append_column("bucket", pa.array([table.column("bucket")[0].as_py()] * out.num_rows, pa.int32()))
 
 
-class Stars:
-    """Entries (key, size, doc, overlap) of one kind, folded around the smallest member of each key."""
+def _stars(keys: list[np.ndarray], docs: np.ndarray, sizes: np.ndarray | None = None, overlaps: np.ndarray | None = None, rule: Rule | None = None):
+    """Entries folded around the smallest member of each key: links (hub, doc), and which entries still stand for the key.
+
+    With a rule, a member joins its hub only if their overlap links them. If it doesn't, no larger member of the key is linked by it either.
+    """
+    order = np.lexsort((docs, *([sizes] if rule else []), *keys))
+    keys, docs = [k[order] for k in keys], docs[order]
+    new = np.r_[True, functools.reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])] if len(docs) else np.zeros(0, bool)
+    hub = np.flatnonzero(new)[np.cumsum(new) - 1] if len(docs) else np.zeros(0, np.int64)
+    joined = ~new
+    if rule:
+        sizes = sizes[order]
+        joined &= rule.linked(overlaps[order], sizes, sizes[hub])
+    return (docs[hub[joined]], docs[joined]), order[~joined]
+
 
-    def __init__(self, rule: Rule, sure: bool):
-        self.rule, self.sure = rule, sure
+def _sums(shingles: np.ndarray) -> np.ndarray:
+    """Two independent values of each shingle: their sums name sets by 128 bits."""
+    return np.stack([textkit.mix(shingles), textkit.mix(shingles ^ np.uint64(0xC2B2AE3D27D4EB4F))])
 
-    def fold(self, keys, sizes, docs, overlaps):
-        """Links (hub, doc), and the entries that still stand: hubs, and members that their hub doesn't link."""
-        order = np.lexsort((docs, sizes, keys))
-        keys, sizes, docs, overlaps = keys[order], sizes[order], docs[order], overlaps[order]
-        new = np.r_[True, keys[1:] != keys[:-1]] if len(keys) else np.zeros(0, bool)
-        hub = np.flatnonzero(new)[np.cumsum(new) - 1] if len(keys) else np.zeros(0, np.int64)
-        joined = ~new
-        if self.sure:
-            joined &= self.rule.linked(overlaps, sizes, sizes[hub])
-        stand = ~joined
-        return (docs[hub[joined]], docs[joined]), (keys[stand], sizes[stand], docs[stand], overlaps[stand])
+
+def _named(sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return textkit.mix(sums + sizes.astype(np.uint64) * _GOLDEN)
 
 
 def _subset_hashes(rule: Rule, own: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the subsets that a partner may share, and their sizes. Shingles that no other document has are left out of all."""
-    mixed = textkit.mix(own)
-    total = mixed.sum(dtype=np.uint64)
-    base = total - mixed[alone].sum(dtype=np.uint64)
-    rest = mixed[~alone]
-    sums, sizes, level = [np.array([base])], [len(rest)], [(base, -1)]
-    for _ in range(rule.spare(len(own)) - int(alone.sum())):
-        level = [(s - rest[i], i) for s, last in level for i in range(last + 1, len(rest))]
-        sums.append(np.array([s for s, _ in level], np.uint64))
-        sizes.append(sizes[-1] - 1)
-    each = np.repeat(np.array(sizes, np.int64), [len(s) for s in sums])
-    return textkit.mix(np.concatenate(sums) + each.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), each
+    """Two hashes of each subset that a partner may share, and their sizes. Shingles that no other document has are left out of all."""
+    rest = _sums(own[~alone])
+    n = rest.shape[1]
+    level, last = rest.sum(1, dtype=np.uint64, keepdims=True), np.array([-1])
+    sums, sizes = [level], [np.array([n])]
+    for k in range(1, rule.spare(len(own)) - int(alone.sum()) + 1):
+        each = n - 1 - last
+        at = np.repeat(last + 1 - np.r_[0, np.cumsum(each)][:-1], each) + np.arange(int(each.sum()))
+        level, last = np.repeat(level, each, axis=1) - rest[:, at], at
+        sums.append(level)
+        sizes.append(np.full(len(at), n - k))
+    each = np.concatenate(sizes)
+    return _named(np.concatenate(sums, 1), each), each
+
+
+def _ranges(starts: np.ndarray, each: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many of each."""
+    return np.repeat(starts - np.r_[0, np.cumsum(each)][:-1], each) + np.arange(int(each.sum()))
 
 
 def _entries(table: pa.Table, replies: pa.Table, rule: Rule, buckets: int) -> pa.Table:
     if not table.num_rows:
         return _rows([])
-    chunk = table.column("chunk")[0].as_py()
     ids = table.column("doc_id")
     sets = list(_sets(textkit.text_column(table.column("text")), rule))
     sizes = np.array([len(s) for s in sets], np.int64)
     known = ids.is_valid().to_numpy()
     docs = ids.fill_null(0).to_numpy().astype(np.int64)
-    rows = [(-1, DOCS, docs.tobytes(), sizes.tobytes(), known.tobytes(), None)]
+    rows = [(-1, DOCS, docs.tobytes(), sizes.tobytes(), known.tobytes())]
     # Equal sets fold into the smallest doc_id.
-    sums = np.array([textkit.mix(s).sum(dtype=np.uint64) for s in sets], np.uint64) if sets else np.zeros(0, np.uint64)
-    prints = textkit.mix(sums + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    prints = _named(np.array([_sums(s).sum(1, dtype=np.uint64) for s in sets], np.uint64).reshape(-1, 2).T, sizes)
     usable = np.flatnonzero(known & (sizes > 0))
-    order = usable[np.lexsort((docs[usable], prints[usable]))]
-    new = np.r_[True, prints[order[1:]] != prints[order[:-1]]] if len(order) else np.zeros(0, bool)
-    hub = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
-    links = [(docs[hub[~new]], docs[order[~new]])]
-    chosen = order[new]
-    same = (prints[chosen], sizes[chosen], docs[chosen], sizes[chosen])
+    found, first = _stars([prints[0, usable], prints[1, usable]], docs[usable])
+    links, chosen = [found], usable[first]
+    same = (prints[0, chosen], prints[1, chosen], sizes[chosen], docs[chosen], sizes[chosen])
     # Which shingles are in other documents, and in how many chunks.
     flat = np.concatenate([sets[i] for i in chosen]) if len(chosen) else np.zeros(0, np.uint64)
     bounds = np.r_[0, np.cumsum(sizes[chosen])]
@@ -179,44 +246,46 @@ def _entries(table: pa.Table, replies: pa.Table, rule: Rule, buckets: int) -> pa
         chunks_with[hit] = counts[at[hit]]
     codes, forms = pd.factorize(flat)
     alone = (chunks_with == 1) & (np.bincount(codes, minlength=len(forms))[codes] == 1) if len(flat) else np.zeros(0, bool)
-    light, listed, kept = [], [], []
+    gone = np.diff(np.r_[0, np.cumsum(alone)][bounds])
     most_light = rule.boundary()
     least_heavy = -(-rule.percent * (most_light + 1) // 100)
-    for k, i in enumerate(chosen.tolist()):
-        n, a, b = int(sizes[i]), bounds[k], bounds[k + 1]
-        spare, own_alone = rule.spare(n), alone[a:b]
-        gone = int(own_alone.sum())
-        if not spare or gone > spare:
-            continue
-        if n <= most_light:
-            hashes, overlaps = _subset_hashes(rule, flat[a:b], own_alone)
-            light.append((hashes, np.full(len(hashes), n), np.full(len(hashes), docs[i]), overlaps))
-        if n >= least_heavy:
-            rank = np.lexsort((flat[a:b], chunks_with[a:b], ~own_alone))[gone : spare + 1]
-            listed.append((flat[a:b][rank], np.full(len(rank), n), np.full(len(rank), docs[i]), np.zeros(len(rank), np.int64)))
-            kept.append((int(docs[i]), flat[a:b]))
-    for kind, sure, entries in ((LISTS, False, listed), (SUBSETS, True, [same, *light])):
-        if entries:
-            found, (keys, size, doc, overlap) = Stars(rule, sure).fold(*[np.concatenate(x) for x in zip(*entries)])
-            if kind == SUBSETS:
-                links.append(found)
-            else:
-                rows.append((-1, LISTS, found[0].tobytes(), found[1].tobytes(), None, None))
-            dealt = packed.dealt(0, keys, [keys, doc.view(np.uint64), size.view(np.uint64), overlap.view(np.uint64)], buckets, (8, 8, 3, 3))
-            rows += [(r["bucket"], kind, r["c0"], r["c1"], r["c2"], r["c3"]) for r in dealt.to_pylist()]
-    rows.append((-1, LINKS, np.concatenate([x[0] for x in links]).tobytes(), np.concatenate([x[1] for x in links]).tobytes(), None, None))
-    for doc, own in kept:
-        rows.append((-1, SETS, packed.narrowed(textkit.mix(own), 6).tobytes(), None, None, None, doc))
+    hopeful = (rule.spare(sizes[chosen]) > 0) & (gone <= rule.spare(sizes[chosen]))
+    subsets = [same]
+    for k in np.flatnonzero(hopeful & (sizes[chosen] <= most_light)).tolist():
+        (one, two), overlaps = _subset_hashes(rule, flat[bounds[k] : bounds[k + 1]], alone[bounds[k] : bounds[k + 1]])
+        subsets.append((one, two, np.full(len(one), sizes[chosen[k]]), np.full(len(one), docs[chosen[k]]), overlaps))
+    one, two, size, doc, overlap = (np.concatenate(x) for x in zip(*subsets))
+    found, stand = _stars([one, two], doc, size, overlap, rule)
+    links.append(found)
+    dealt = packed.dealt(0, one[stand], [x[stand].view(np.uint64) for x in (one, doc, size, overlap, two)], buckets, (8, 8, 3, 3, 8))
+    rows += [(r["bucket"], SUBSETS, r["c0"], r["c1"], r["c2"], r["c3"], r["c4"]) for r in dealt.to_pylist()]
+    rows.append((-1, LINKS, np.concatenate([x[0] for x in links]).tobytes(), np.concatenate([x[1] for x in links]).tobytes()))
+
+    heavy = np.flatnonzero(hopeful & (sizes[chosen] >= least_heavy))
+    if len(heavy):
+        each = sizes[chosen[heavy]]
+        at = _ranges(bounds[heavy], each)
+        owner = np.repeat(np.arange(len(heavy)), each)
+        at, owner = at[~alone[at]], owner[~alone[at]]
+        order = np.lexsort((flat[at], chunks_with[at], owner))
+        own, cuts = flat[at[order]], np.r_[0, np.cumsum(each - gone[heavy])]
+        keys, of = rule.lists(each, own, cuts)
+        found, stand = _stars([keys], docs[chosen[heavy[of]]])
+        rows.append((-1, LISTS, found[0].tobytes(), found[1].tobytes()))
+        dealt = packed.dealt(0, keys[stand], [keys[stand], docs[chosen[heavy[of[stand]]]].view(np.uint64)], buckets, (6, 8))
+        rows += [(r["bucket"], LISTS, r["c0"], r["c1"]) for r in dealt.to_pylist()]
+        for k, i in enumerate(chosen[heavy].tolist()):
+            rows.append((-1, SETS, own[cuts[k] : cuts[k + 1]].tobytes(), None, None, None, None, int(docs[i]), int(sizes[i])))
     return _rows(rows)
 
 
-_ENTRIES = "bucket int, kind int, c0 binary, c1 binary, c2 binary, c3 binary, doc_id long"
+_ENTRIES = "bucket int, kind int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary, doc_id long, n long"
 _EDGES = "kind int, a long, b long"
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int64())
-    names = ("bucket", "kind", "c0", "c1", "c2", "c3", "doc_id")
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int64())
+    names = ("bucket", "kind", "c0", "c1", "c2", "c3", "c4", "doc_id", "n")
     return pa.table({n: pa.array([r[i] if i < len(r) else None for r in rows], t) for i, (n, t) in enumerate(zip(names, kinds))})
 
 
@@ -226,10 +295,11 @@ def _edges(kind: int, a: np.ndarray, b: np.ndarray) -> pa.Table:
 
 def _met(table: pa.Table, rule: Rule) -> pa.Table:
     """Stars of the keys of one bucket."""
-    kind = table.column("kind")[0].as_py()
-    columns = [np.concatenate([packed.widened(x.as_py(), w) for x in table.column(f"c{i}")]) for i, w in enumerate((8, 8, 3, 3))]
-    (a, b), _ = Stars(rule, kind == SUBSETS).fold(columns[0], columns[2].view(np.int64), columns[1].view(np.int64), columns[3].view(np.int64))
-    return _edges(LISTS if kind == LISTS else LINKS, a, b)
+    column = lambda i, width: np.concatenate([packed.widened(x.as_py(), width) for x in table.column(f"c{i}")])
+    docs = column(1, 8).view(np.int64)
+    if table.column("kind")[0].as_py() == LISTS:
+        return _edges(LISTS, *_stars([column(0, 6)], docs)[0])
+    return _edges(LINKS, *_stars([column(0, 8), column(4, 8)], docs, column(2, 3).view(np.int64), column(3, 3).view(np.int64), rule)[0])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,42 +316,136 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(docs, np.int64), mask=~valid), pa.array(np.frombuffer(sizes, np.int64))], ["doc_id", "n_shingles"])
 
 
+class Sets:
+    """The sets of one task of the search, with the lists they are in."""
+
+    def __init__(self, table: pa.Table, rule: Rule):
+        self.rule = rule
+        docs, sizes = table.column("doc_id").to_numpy(), table.column("n").to_numpy()
+        self.order = order = np.lexsort((docs, sizes))
+        self.docs, self.sizes = docs[order], sizes[order]
+        owns = table.column("own").to_pylist()
+        flat = np.frombuffer(b"".join(owns[i] for i in order), np.uint64)
+        self.held = np.array([len(owns[i]) // 8 for i in order], np.int64)
+        self.bounds = np.r_[0, np.cumsum(self.held)]
+        self.codes, forms = pd.factorize(flat)
+        self.marked = np.zeros(len(forms), bool)
+        keys, owner = rule.lists(self.sizes, flat, self.bounds)
+        lists, self.keys = pd.factorize(keys)
+        # Lists of one set lead nowhere.
+        shared = np.bincount(lists, minlength=len(self.keys))[lists] > 1
+        lists, owner = lists[shared], owner[shared]
+        by_list, by_set = np.argsort(lists, kind="stable"), np.argsort(owner, kind="stable")
+        self.members, self.member_bounds = owner[by_list], np.searchsorted(lists[by_list], np.arange(len(self.keys) + 1))
+        self.lists, self.list_bounds = lists[by_set], np.searchsorted(owner[by_set], np.arange(len(docs) + 1))
+
+    def lists_of(self, k: int) -> np.ndarray:
+        return self.lists[self.list_bounds[k] : self.list_bounds[k + 1]]
+
+    def near(self, k: int, open_: np.ndarray) -> np.ndarray:
+        """The open sets that share a list with set k and whose size allows a link."""
+        own, n = self.lists_of(k), int(self.sizes[k])
+        lo = np.searchsorted(self.sizes, -(-self.rule.percent * n // 100))
+        hi = np.searchsorted(self.sizes, n * 100 // self.rule.percent, side="right")
+        found = self.members[_ranges(self.member_bounds[own], self.member_bounds[own + 1] - self.member_bounds[own])]
+        hit = np.zeros(len(self.docs), bool)
+        hit[found] = True
+        hit[:lo] = hit[hi:] = False
+        return np.flatnonzero(hit & open_)
+
+    def linked(self, k: int, near: np.ndarray) -> np.ndarray:
+        """Which of ``near`` link with set k, by their whole overlaps."""
+        own = self.codes[self.bounds[k] : self.bounds[k + 1]]
+        self.marked[own] = True
+        each = self.held[near]
+        overlap = np.add.reduceat(self.marked[self.codes[_ranges(self.bounds[near], each)]].astype(np.int64), np.r_[0, np.cumsum(each)][:-1])
+        self.marked[own] = False
+        return near[self.rule.linked(overlap, self.sizes[k], self.sizes[near])]
+
+
 def _searched(table: pa.Table, rule: Rule) -> pa.Table:
-    """Links inside one cluster (or pair of its blocks): from each set to those it is the first to reach."""
-    docs = table.column("doc_id").to_numpy()
-    sets = [packed.widened(x.as_py(), 6) for x in table.column("own")]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    order = np.lexsort((docs, sizes))
-    docs, sizes = docs[order], sizes[order]
-    codes, forms = pd.factorize(np.concatenate([sets[i] for i in order]))
-    bounds = np.r_[0, np.cumsum(sizes)]
-    marked = np.zeros(len(forms), bool)
-    waiting = np.arange(len(docs))
+    """Links inside one task: from each set to those it is the first to reach."""
+    sets = Sets(table, rule)
+    open_ = np.ones(len(sets.docs), bool)
     a, b = [], []
-    while len(waiting):
-        queue, waiting = [int(waiting[0])], waiting[1:]
-        while queue and len(waiting):
+    for start in range(len(sets.docs)):
+        if not open_[start]:
+            continue
+        open_[start] = False
+        queue = [start]
+        while queue:
             source = queue.pop()
-            n = int(sizes[source])
-            lo = np.searchsorted(sizes[waiting], -(-rule.percent * n // 100))
-            hi = np.searchsorted(sizes[waiting], n * 100 // rule.percent, side="right")
-            near = waiting[lo:hi]
-            if not len(near):
-                continue
-            own = codes[bounds[source] : bounds[source + 1]]
-            marked[own] = True
-            each = sizes[near]
-            starts = np.r_[0, np.cumsum(each)][:-1]
-            overlap = np.add.reduceat(marked[codes[np.repeat(bounds[near] - starts, each) + np.arange(int(each.sum()))]].astype(np.int64), starts)
-            marked[own] = False
-            hit = rule.linked(overlap, n, each)
-            if hit.any():
-                reached = near[hit]
-                a.append(np.full(len(reached), docs[source]))
-                b.append(docs[reached])
+            near = sets.near(source, open_)
+            if len(near):
+                reached = sets.linked(source, near)
+                open_[reached] = False
+                a.append(np.full(len(reached), sets.docs[source]))
+                b.append(sets.docs[reached])
                 queue += reached.tolist()
-                waiting = np.concatenate([waiting[:lo], near[~hit], waiting[hi:]])
-    return _edges(LINKS, np.concatenate(a) if a else docs[:0], np.concatenate(b) if b else docs[:0])
+    return _edges(LINKS, np.concatenate(a) if a else sets.docs[:0], np.concatenate(b) if b else sets.docs[:0])
+
+
+def _sought(table: pa.Table, rule: Rule) -> pa.Table:
+    """Links of the sets that seek with the others of the task that are of another class, one for each class.
+
+    If the task is one list's, a pair is compared only if that is the first of the lists the two share.
+    """
+    sets = Sets(table, rule)
+    roots, seeks, asked = (table.column(c).to_numpy()[sets.order] for c in ("root", "seeks", "unsettled"))
+    by_list, name = table.column("by_list")[0].as_py(), table.column("name")[0].as_py()
+    a, b = [], []
+    for k in np.flatnonzero(seeks).tolist():
+        # Two that seek meet twice, as either; the smaller asks.
+        near = sets.near(k, ~seeks & (roots != roots[k]) & (~asked | (sets.docs > sets.docs[k])))
+        if by_list and len(near):
+            own = np.zeros(len(sets.keys), bool)
+            own[sets.lists_of(k)] = True
+            near = np.array([x for x in near.tolist() if sets.keys[(c := sets.lists_of(x))[own[c]]].min() == np.int64(name).view(np.uint64)], np.int64)
+        if len(near):
+            reached = sets.linked(k, near)
+            reached = reached[np.unique(roots[reached], return_index=True)[1]]
+            a.append(np.full(len(reached), sets.docs[k]))
+            b.append(sets.docs[reached])
+    return _edges(LINKS, np.concatenate(a) if a else sets.docs[:0], np.concatenate(b) if b else sets.docs[:0])
+
+
+def _unsettled_links(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
+    """Links between the classes of large clusters: each set outside the largest class against the rest of its cluster.
+
+    ``known`` is (doc_id, cluster, root) of all their sets.
+    """
+    sizes = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("m"), (F.sum("n") - F.max("n")).alias("u")).where("u > 0")
+    top = common.written(top.select("cluster", "top", "m", "u", *(F.ceil(F.col(c) / BLOCK_SETS).cast("int").alias(f"n{c}") for c in "mu")), "unsettled")
+    if top.isEmpty():
+        return None
+    rows = known.join(common.sized(top.select("cluster", "top")), "cluster").select("doc_id", "cluster", "root", (F.col("root") != F.col("top")).alias("unsettled"))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds = np.r_[0, np.cumsum([len(x) // 8 for x in batch.column("own").to_pylist()])].astype(np.int64)
+            keys, of = rule.lists(batch.column("n").to_numpy(), np.frombuffer(b"".join(batch.column("own").to_pylist()), np.uint64), bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(of)) for c in ("doc_id", "cluster", "root", "unsettled"))], ["name", "doc_id", "cluster", "root", "unsettled"])
+
+    entries = rows.join(sets, "doc_id").select("doc_id", "cluster", "root", "unsettled", "n", "own").mapInArrow(keyed, "name long, doc_id long, cluster long, root long, unsettled boolean")
+    lists = entries.groupBy("cluster", "name").agg(F.count(F.lit(1)).alias("m"), F.count_if("unsettled").alias("u"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("u > 0 AND lo <> hi")
+    copies = F.col("m") * F.col("nu") + F.col("u") * F.col("nm")
+    lists = lists.select("cluster", "name", "m", "u", *(F.ceil(F.col(c) / BLOCK_SETS).cast("int").alias(f"n{c}") for c in "mu"))
+    lists = common.written(lists.withColumn("copies", copies), "lists")
+    # The cheaper way for each cluster: its lists one by one, or all its blocks.
+    cost = lists.groupBy("cluster").agg(F.sum("copies").alias("by_lists"))
+    way = common.written(top.join(cost, "cluster").select("cluster", "nm", "nu", (F.col("by_lists") < copies).alias("by_list")), "ways")
+    whole = rows.join(common.sized(way.where("NOT by_list")), "cluster").withColumn("name", F.col("cluster"))
+    listed = entries.join(common.sized(way.where("by_list").select("cluster", "by_list")), "cluster").join(common.sized(lists.select("cluster", "name", "nm", "nu")), ["cluster", "name"])
+    dealt = whole.unionByName(listed).withColumns({"block": F.pmod(F.xxhash64("doc_id"), F.col("nm")).cast("int"), "turn": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("nu")).cast("int")})
+    columns = ["doc_id", "name", "by_list", "root", "unsettled"]
+    still = dealt.select(*columns, F.lit(False).alias("seeks"), "block", F.explode(F.sequence(F.lit(0), F.col("nu") - 1)).alias("turn"))
+    ask = dealt.where("unsettled").select(*columns, F.lit(True).alias("seeks"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("block"), "turn")
+
+    def seek(table: pa.Table) -> pa.Table:
+        return _sought(table, rule)
+
+    return still.unionByName(ask).join(sets, "doc_id").groupBy("by_list", "name", "block", "turn").applyInArrow(seek, _EDGES)
 
 
 def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -309,20 +473,30 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     inside = entries.where(f"bucket < 0 AND kind IN ({LISTS}, {LINKS})").mapInArrow(_pairs, _EDGES)
     links = common.written(met.unionByName(inside), "stars")
 
+    # Rows that share a doc_id may each have a set; they are one node.
+    sets = entries.where(f"kind = {SETS}").select("doc_id", "n", F.col("c0").alias("own"))
     clusters = graph.components(links.where(f"kind = {LISTS}").select("a", "b"))
-    sets = entries.where(f"kind = {SETS}").select("doc_id", F.col("c0").alias("own"))
     listed = links.where(f"kind = {LISTS}").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    member = common.written(listed.join(clusters.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("cluster")), "members")
-    held = member.join(sets.select("doc_id", F.expr("octet_length(own) DIV 6").alias("n")), "doc_id")
-    blocks = held.groupBy("cluster").agg(F.sum("n").alias("elements")).select("cluster", F.ceil(F.col("elements") / CLUSTER_ELEMENTS).cast("int").alias("blocks"))
-    dealt = (
-        member.join(blocks, "cluster")
-        .withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("doc_id", "cluster", F.least("block", "other").alias("left_block"), F.greatest("block", "other").alias("right_block"))
+    member = common.written(
+        listed.join(clusters.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("cluster"))
+        .join(sets.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id"), "members",
     )
-    verified = dealt.join(sets, "doc_id").groupBy("cluster", "left_block", "right_block").applyInArrow(search, _EDGES)
-    roots = graph.components(links.where(f"kind = {LINKS}").select("a", "b").unionByName(verified.select("a", "b")))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / CLUSTER_ELEMENTS)).cast("int")
+    large = common.written(member.groupBy("cluster").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
+    bins = max(common.shuffle_partitions(docs.sparkSession), -(-(member.agg(F.sum("n")).first()[0] or 0) // CLUSTER_ELEMENTS))
+    placed = member.join(common.sized(large), "cluster", "left")
+    small = placed.where("blocks IS NULL").select("doc_id", F.lit(None).cast("long").alias("whole"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("int").alias("block"))
+    hub = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("blocks") * BLOCK_SETS / HUBS)) == 0
+    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    dealt = placed.where("blocks > 1").select("doc_id", F.col("cluster").alias("whole"), F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(mine))).alias("block"))
+    verified = small.unionByName(dealt).join(sets, "doc_id").groupBy("whole", "block").applyInArrow(search, _EDGES)
+    found = common.written(links.where(f"kind = {LINKS}").select("a", "b").unionByName(verified.select("a", "b")), "found")
+    roots = graph.components(found)
+    if not large.isEmpty():
+        known = member.join(common.sized(large), "cluster").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "cluster", F.coalesce("root", "doc_id").alias("root"))
+        more = _unsettled_links(common.written(known, "known"), sets, rule)
+        if more is not None:
+            roots = graph.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))
     rows = entries.where(f"kind = {DOCS}").mapInArrow(_documents, "doc_id long, n_shingles long")
     return rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 

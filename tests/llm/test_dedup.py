@@ -79,6 +79,99 @@ def test_jaccard(spark, monkeypatch, width, percent):
     assert left == {i for i, _, c in got if i == c}
 
 
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_large_clusters(spark, monkeypatch, width, percent):
+    """Near copies, groups that share parts without linking, and a chain of overlapping texts, in clusters of many small blocks."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard_join, "HUBS", 1)
+    ways = []
+    monkeypatch.setattr(jaccard_join, "_unsettled_links", lambda known, sets, rule, own=jaccard_join._unsettled_links: ways.append(own(known, sets, rule)) or ways[-1])
+    r = random.Random(12)
+    words = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    rows = []
+    for most in (2, 9):
+        base = words(160)
+        for _ in range(70):
+            own = list(base)
+            for _ in range(r.randint(0, most)):
+                own[r.randrange(len(own))] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    long = words(3000)
+    rows += [(len(rows) + i, " ".join(long[23 * i : 23 * i + 160])) for i in range(100)]
+    rows += [(-5 - i, " ".join(words(40))) for i in range(20)]
+    r.shuffle(rows)
+    got = sorted(map(tuple, jaccard_join.classes(frame(spark, rows), width, percent).collect()), key=str)
+    assert got == sorted(brute.classes(rows, width, percent), key=str)
+    assert len(ways) == 1 and ways[0] is not None
+
+
+def test_either_way_of_settling_finds_every_link(spark, monkeypatch):
+    """A chain whose neighbours link, and a group that all link, each set in a class of its own as yet: lists are cheaper for the chain, blocks for the group."""
+    import numpy as np
+
+    kept, written = {}, jaccard_join.common.written
+    monkeypatch.setattr(jaccard_join.common, "written", lambda df, name: kept.setdefault(name, []).append(written(df, name)) or kept[name][-1])
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+
+    r, rule = random.Random(3), jaccard_join.Rule(3, 90)
+    for shift, count, by_list in ((3, 300, True), (0, 40, False)):
+        long = np.array([r.getrandbits(64) for _ in range(shift * count + 150)], np.uint64)
+        own = [long[shift * i : shift * i + 150].copy() for i in range(count)]
+        for i, x in enumerate(own):
+            x[:3] = [r.getrandbits(64) for _ in range(3)]
+        sets = spark.createDataFrame([(i, len(x), bytearray(x.tobytes())) for i, x in enumerate(own)], "doc_id long, n long, own binary")
+        known = spark.createDataFrame([(i, 7, i) for i in range(count)], "doc_id long, cluster long, root long")
+        found = jaccard_join._unsettled_links(known, sets, rule)
+        got = {tuple(sorted((x.a, x.b))) for x in found.collect()}
+        held = [set(x.tolist()) for x in own]
+        want = {(i, j) for i in range(count) for j in range(i + 1, count) if rule.linked(len(held[i] & held[j]), len(held[i]), len(held[j]))}
+        assert got == want and want
+        assert [x.by_list for x in kept["ways"][-1].collect()] == [by_list]
+
+
+def test_parts_hold_every_link_and_few_others():
+    """Linked sets share a list; unrelated sets over common shingles don't."""
+    import numpy as np
+
+    g = np.random.default_rng(6)
+    for percent in (80, 90):
+        rule = jaccard_join.Rule(3, percent)
+        for n in (jaccard_join.Rule(3, percent).boundary() + 1, 40, 333):
+            shared = 0
+            for _ in range(60):
+                pool = g.permutation(1 << 20).astype(np.uint64) + np.uint64(1)
+                b = int(g.integers(n, n * 100 // percent + 1))
+                overlap = next(k for k in range(n + 1) if rule.linked(k, n, b))
+                if overlap > n:
+                    continue
+                x, y = pool[:n], np.r_[pool[:overlap], pool[n : n + b - overlap]]
+                keys, of = rule.lists(np.array([n, b]), np.concatenate([x, y]), np.array([0, n, n + b]))
+                assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
+                z = np.concatenate([pool[: n // 3], pool[2 * n : 3 * n - n // 3]])
+                keys, of = rule.lists(np.array([n, n]), np.concatenate([x, z]), np.array([0, n, 2 * n]))
+                shared += bool(set(keys[of == 0].tolist()) & set(keys[of == 1].tolist()))
+            # At 80 percent parts hold some four shingles, so sets that share a third often meet (and are then counted).
+            assert n < 100 or percent < 90 or shared <= 12
+
+
+def test_unrelated_texts_over_common_shingles_form_no_clusters(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join(f"w{r.randrange(25)}" for _ in range(200))) for i in range(600)]
+    rows += [(1000, rows[5][1] + " more"), (1001, rows[6][1])]
+    chunks, buckets = jaccard_join.packed.layout(frame(spark, rows), 3)
+    got = {x.doc_id: x.component_id for x in jaccard_join.classes(frame(spark, rows)).collect()}
+    assert got == {i: {1000: 5, 1001: 6}.get(i, i) for i, _ in rows}
+    import numpy as np
+
+    rule = jaccard_join.Rule(3, 90)
+    import pyarrow as pa
+
+    sets = list(jaccard_join._sets(pa.array([t for _, t in rows[:600]], pa.large_string()), rule))
+    keys, of = rule.lists(np.array([len(s) for s in sets]), np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])])
+    names, times = np.unique(keys, return_counts=True)
+    assert times[times > 1].sum() < 0.02 * len(keys)
+
+
 def test_boundary_follows_cost():
     assert jaccard_join.Rule(3, 90).boundary() == 19 and jaccard_join.Rule(5, 80).boundary() == 9
 
