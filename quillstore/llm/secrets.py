@@ -4,17 +4,27 @@ Base kinds are assign, access and hex. Candidates for the battery are the maxima
 ``A-Za-z0-9+/_-`` of at least ``LEAST`` characters that mix letters and digits and overlap no
 base span. A run that fits no encoding, since it mixes + or / with - or _, is replaced by its
 maximal parts without + and / and those without - and _, under the same rules. For each candidate
-the narrowest encoding that holds it is inferred (hex, base32, base36, base62, base64, base64url), its characters become symbol numbers, and three tests ask whether they are drawn evenly:
-chi-squared over the alphabet, runs about the alphabet's middle, and serial correlation at lag
-one. Fisher's method combines the three; a string whose combined p is under ``LEVEL`` isn't random.
-
-That a string may be random is no proof for a short one, so a discovery also needs evidence
-against text: the likelihood ratio of its letters, even in its encoding against the letter frequencies of all
-texts of the table (counted whole). Its inverse bounds the p-value under the text hypothesis
-(Markov's inequality), which is the smaller the longer the string. The procedure of Benjamini
-and Hochberg holds the false-discovery rate at ``RATE`` in each band of lengths, over all candidates of the
-table: their p-values are counted in histograms of fixed size, so the driver sees a few hundred numbers
-at any scale. Parts of a run may overlap; each counts as a test, and each that is accepted is a span of its own.
+the narrowest encoding that holds it is inferred (hex, base32, base36, base62, base64, base64url), its characters become symbol
+numbers, and three tests measure how unevenly they are drawn: chi-squared over the alphabet, runs about the alphabet's middle,
+and serial correlation at lag one.
+
+Each statistic is calibrated under the text hypothesis: that the string is one of the table's own kind of text. Which
+symbol follows which is counted over all texts of the table, whole (but in runs long enough to be candidates), and where one case
+is seldom seen, it is taken to follow the other's habits. Strings drawn from these transitions inside each alphabet, words joined
+(in half of the strings with capitals) before or after text that begins with a digit, since candidates have both, give the statistics' means and covariance
+at ``LENGTHS`` (between them evidence is interpolated), and even draws give those of randomness. Runs and serial
+correlation are taken twice: in the alphabet's own order, with runs of letters and of the rest, which sees text keep to one of them, and
+in the order of the symbols' frequency in text, which sees it keep to the frequent ones; chi-squared is taken over single symbols
+and over letters against the rest. All combine to one score, the log ratio of the two normal densities. Its p-value under the
+text hypothesis is that of the drawn strings down to one in a hundred, and falls on at the same rate beyond (slower than a
+normal tail): the longer a string, the smaller it gets for a random one. The procedure of
+Benjamini and Hochberg on these p-values holds the false-discovery rate at ``RATE`` in each band of lengths, over all
+candidates of the table: they are counted in histograms of fixed size, so the driver sees a few hundred numbers
+at any scale. A string that the same tests find no even draw either (Fisher's combination under ``LEVEL``, too even
+included) counts with a p-value of 1. Parts of a run may overlap; each counts as a test, and each that is accepted is a span of its own.
+
+Limits: secrets of fewer than ``LEAST`` characters, or without a letter or a digit, are never judged (of random base64 of 20
+characters some 3 percent have no digit, of hex none to speak of). Where texts are as random as secrets, nothing is found.
 
 Null texts count as empty. Rows come back as they came in, with null or repeated doc_ids. Extra
 columns are ignored; an empty table gives an empty result. Very long texts are scanned whole.
@@ -37,6 +47,11 @@ from . import common, textkit
 KINDS = ("assign", "access", "hex", "random")
 LEAST = 20
 LEVEL = 0.001
+#: Lengths at which the tests are calibrated, and strings drawn for it in each encoding. Longer strings count as the last.
+LENGTHS = (20, 22, 24, 28, 32, 40, 50, 64, 80, 100, 128, 160, 200, 256)
+DRAWN = 4000
+#: How often a word ends where words are joined: short words, so that joined ones in capitals look as random as they do anywhere.
+JOINED = 0.25
 RATE = 0.01
 #: Lengths from which the bands of the false-discovery control begin.
 BANDS = (20, 28, 40, 64, 128)
@@ -49,6 +64,11 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX_BYTES = np.isin(np.arange(256), list(b"0123456789abcdef"))
 _RUN_BYTES = np.isin(np.arange(256), list((string.ascii_letters + string.digits + "+/_-").encode()))
+#: What candidates are made of, in the order of the counted pairs.
+SYMBOLS = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/-_"
+_FOLDED = np.unique([c.lower() for c in SYMBOLS], return_inverse=True)[1]
+_PLACES = np.full(256, -1, np.int16)
+_PLACES[list(SYMBOLS.encode())] = np.arange(len(SYMBOLS))
 _ENCODINGS = tuple(
     (name, symbols, frozenset(symbols))
     for name, symbols in (
@@ -108,39 +128,122 @@ def _normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def _chi_tail(x: float, k: float) -> float:
-    """Upper tail of chi-squared by the cube-root approximation."""
-    return 0.5 * math.erfc((((x / k) ** (1 / 3)) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k)) / math.sqrt(2))
+def _chi_score(x, k: float):
+    """Chi-squared as a standard normal, by the cube root."""
+    return ((x / k) ** (1 / 3) - (1 - 2 / (9 * k))) / math.sqrt(2 / (9 * k))
 
 
-def randomness(value: str, symbols: str) -> float:
-    """Combined p-value of the battery under even draws from ``symbols``."""
+def numbered(value: str, symbols: str) -> np.ndarray:
     place = {c: i for i, c in enumerate(symbols)}
-    x = np.array([place[c] for c in value], float)
-    n, size = len(x), len(symbols)
-    counts = np.bincount(x.astype(int), minlength=size)
-    ps = [_chi_tail(max(1e-9, float(((counts - n / size) ** 2).sum() * size / n)), size - 1)]
-    high = x >= size / 2
-    ups = int(high.sum())
-    if 0 < ups < n:
-        runs = 1 + int((high[1:] != high[:-1]).sum())
-        mean = 1 + 2 * ups * (n - ups) / n
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        ps.append(_normal_tail((runs - mean) / math.sqrt(var)) if var > 0 else 1.0)
-    else:
-        ps.append(2.0 ** (1 - n))
+    return np.array([[place[c] for c in value]])
+
+
+def statistics(x: np.ndarray, size: int, upper: np.ndarray | None = None) -> np.ndarray:
+    """The battery over each row of symbol numbers: normal scores of chi-squared, and the size of those of runs and serial correlation.
+
+    Runs are those of symbols above and below the alphabet's middle, or of ``upper`` ones and the rest.
+    """
+    rows, n = x.shape
+    counts = np.bincount((np.arange(rows)[:, None] * size + x).ravel(), minlength=rows * size).reshape(rows, size)
+    chi = ((counts - n / size) ** 2).sum(1) * size / n
+    high = x >= size / 2 if upper is None else upper[x]
+    ups = high.sum(1)
+    mean = 1 + 2 * ups * (n - ups) / n
+    var = np.maximum((mean - 1) * (mean - 2) / (n - 1), 0)
+    turns = 1 + (high[:, 1:] != high[:, :-1]).sum(1)
+    # All on one side: as odd as a test of n coins can be.
+    runs = np.where(var > 0, np.abs(turns - mean) / np.sqrt(np.where(var > 0, var, 1)), math.sqrt(n))
     centred = x - (size - 1) / 2
-    power = float((centred**2).sum())
-    ps.append(_normal_tail(float((centred[1:] * centred[:-1]).sum()) / power * math.sqrt(n)) if power else 0.0)
+    serial = np.abs((centred[:, 1:] * centred[:, :-1]).sum(1)) / (centred**2).sum(1) * math.sqrt(n)
+    return np.stack([_chi_score(chi, size - 1), runs, serial], 1)
+
+
+def randomness(value: str, symbols: str) -> float:
+    """Combined p-value of the battery under even draws from ``symbols``, by Fisher's method; chi-squared counts both ways."""
+    ps = [_normal_tail(z) for z in statistics(numbered(value, symbols), len(symbols))[0].tolist()]
     half = -sum(math.log(max(p, 1e-300)) for p in ps)
     return math.exp(-half) * sum(half**i / math.factorial(i) for i in range(len(ps)))
 
 
-def against_text(value: str, symbols: str, frequencies: dict[str, float]) -> float:
-    """-log10 of the bound on the p-value under the hypothesis that the letters are those of text; 0 if it is no evidence."""
-    letters = [c for c in symbols if c in string.ascii_letters]
-    even = 1 / len(letters)
-    return max(0.0, sum(math.log10(even / frequencies[c]) for c in value if c in frequencies))
+class TextHypothesis:
+    """The battery's distribution over strings that follow one another as the symbols of the table's texts do."""
+
+    def __init__(self, pairs: np.ndarray, seed: int = 7):
+        """``pairs``: how often each symbol follows each, in the order of ``SYMBOLS``."""
+        self.letters = {name: np.array([c in string.ascii_letters for c in symbols]) for name, symbols, _ in _ENCODINGS}
+        self.ranks: dict[str, np.ndarray] = {}
+        self.table: dict[str, list] = {}
+        for name, symbols, _ in _ENCODINGS:
+            r, size = np.random.default_rng(seed), len(symbols)
+            self.ranks[name] = np.argsort(np.argsort(-self.follows(pairs, symbols)[0], kind="stable"))
+            text, even = self.drawn(pairs, symbols, DRAWN, LENGTHS[-1], r), r.integers(0, size, (DRAWN, LENGTHS[-1]))
+            self.table[name] = []
+            for n in LENGTHS:
+                own, random = self.measured(text[n], name), self.measured(even[:, :n], name)
+                shapes = [(x.mean(0), np.linalg.inv(np.cov(x.T) + 1e-3 * np.eye(x.shape[1]))) for x in (own, random)]
+                tenth, hundredth = np.quantile(self.score(own, shapes), (0.9, 0.99))
+                self.table[name].append((shapes, tenth, max(hundredth - tenth, 1e-9)))
+
+    @staticmethod
+    def score(x: np.ndarray, shapes) -> np.ndarray:
+        """How much farther each row is from text than from randomness."""
+        text, even = (np.einsum("ij,jk,ik->i", x - mean, inverse, x - mean) for mean, inverse in shapes)
+        return text - even
+
+    def measured(self, x: np.ndarray, name: str) -> np.ndarray:
+        """Chi-squared, runs and serial correlation in two orders, and the letters' share."""
+        size, letters = len(self.ranks[name]), self.letters[name]
+        n, share = x.shape[1], letters.mean()
+        # Chi-squared over two cells, as a score: a run of digits with one letter has no runs to speak of.
+        balance = np.abs(letters[x].sum(1) - n * share) / math.sqrt(n * share * (1 - share))
+        return np.concatenate([statistics(x, size, letters), statistics(self.ranks[name][x], size)[:, 1:], balance[:, None]], 1)
+
+    @staticmethod
+    def follows(pairs: np.ndarray, symbols: str) -> tuple[np.ndarray, np.ndarray]:
+        """How often text has each symbol, and how often each follows each. What is rare leans on both cases together, and that on all symbols."""
+        at, size = [SYMBOLS.index(c) for c in symbols], len(symbols)
+        kind = _FOLDED[at]
+        both = np.zeros((_FOLDED.max() + 1,) * 2)
+        np.add.at(both, (_FOLDED[:, None], _FOLDED[None, :]), pairs)
+        split = 1 / np.bincount(kind)[kind]
+        often = (both.sum(0) + both.sum(1) + 1)[kind] * split
+        often /= often.sum()
+        leaning = both[np.ix_(kind, kind)] * split
+        leaning = (leaning + size * often) / (leaning.sum(1, keepdims=True) + size)
+        own = pairs[np.ix_(at, at)].astype(float)
+        seen = own.sum(0) + own.sum(1) + size * often
+        return seen / seen.sum(), (own + size * leaning) / (own.sum(1, keepdims=True) + size)
+
+    @classmethod
+    def drawn(cls, pairs: np.ndarray, symbols: str, rows: int, longest: int, r: np.random.Generator) -> dict[int, np.ndarray]:
+        """Strings as symbol numbers, for each of ``LENGTHS`` up to ``longest`` and that: joined words, cut anywhere, and text from a digit on, or the other way round."""
+        often, steps = cls.follows(pairs, symbols)
+        steps = np.cumsum(steps, 1)
+        letters, capitals, digits = (often * [c in kind for c in symbols] for kind in (string.ascii_letters, string.ascii_uppercase, string.digits))
+        begun = lambda weights: np.searchsorted(c := np.cumsum(weights), r.random(rows) * c[-1] * (1 - 1e-9), side="right")
+        joined = r.random(rows) < 0.5 if capitals.any() else np.zeros(rows, bool)
+        pieces = [np.empty((rows, longest), np.int64) for _ in range(2)]
+        for piece, first in zip(pieces, (letters, digits)):
+            piece[:, 0] = begun(first)
+            for i in range(1, longest):
+                step = np.minimum((steps[piece[:, i - 1]] < r.random((rows, 1)) * (1 - 1e-9)).sum(1), len(symbols) - 1)
+                again = r.random(rows) < JOINED if first is letters else np.zeros(rows, bool)
+                piece[:, i] = np.where(again, np.where(joined, begun(capitals if capitals.any() else letters), begun(letters)), step)
+        turn, place = r.random((rows, 1)) < 0.5, r.random((rows, 1))
+        head, tail = np.where(turn, pieces[0], pieces[1]), np.where(turn, pieces[1], pieces[0])
+        out = {}
+        for n in {*(x for x in LENGTHS if x < longest), longest}:
+            cut, at = 1 + (place * (n - 1)).astype(np.int64), np.arange(n)
+            out[n] = np.where(at < cut, head[:, :n], np.take_along_axis(tail, np.maximum(at - cut, 0), 1))
+        return out
+
+    def evidence(self, value: str, name: str, symbols: str) -> float:
+        """-log10 of the p-value under the text hypothesis."""
+        own, n = self.measured(numbered(value, symbols), name), min(len(value), LENGTHS[-1])
+        above = max(1, int(np.searchsorted(LENGTHS, n)))
+        at = math.log(n / LENGTHS[above - 1]) / math.log(LENGTHS[above] / LENGTHS[above - 1])
+        low, high = (1 + (float(self.score(own, shapes)[0]) - tenth) / gap for shapes, tenth, gap in self.table[name][above - 1 : above + 1])
+        return max(0.0, low + at * (high - low))
 
 
 def _band(n: int) -> int:
@@ -148,20 +251,26 @@ def _band(n: int) -> int:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, base spans and candidates; and rows with letter counts, of part -1. Not written yet."""
+    """Per row: doc_id, base spans and candidates; and a row for each task with its counts of pairs of symbols. Not written yet."""
     common.ship(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters = np.zeros(256, np.int64)
+        pairs = np.zeros(len(SYMBOLS) ** 2, np.int64)
         for batch in batches:
             text = textkit.text_column(batch.column("text"))
             base: list = [[] for _ in range(len(text))]
             candidates: list = [[] for _ in range(len(text))]
             for a, b, data, offsets in textkit.blocks(text):
-                letters += np.bincount(data, minlength=256)
                 raw = data.tobytes()
                 hexes = _long_runs(data, _HEX_BYTES, 32, offsets)[0]
                 starts, ends = _long_runs(data, _RUN_BYTES, LEAST, offsets)
+                place = _PLACES[data]
+                follows = (place[:-1] >= 0) & (place[1:] >= 0)
+                inner = offsets[1:-1]
+                follows[inner[(inner > 0) & (inner < len(data))] - 1] = False
+                for s, e in zip(starts.tolist(), ends.tolist()):
+                    follows[s : e - 1] = False
+                pairs += np.bincount(place[:-1][follows].astype(np.int64) * len(SYMBOLS) + place[1:][follows], minlength=len(pairs))
                 hex_docs = set((np.searchsorted(offsets, hexes, side="right") - 1).tolist())
                 run_docs: dict[int, list[tuple[int, int]]] = {}
                 for d, s, e in zip((np.searchsorted(offsets, starts, side="right") - 1).tolist(), starts.tolist(), ends.tolist()):
@@ -190,11 +299,11 @@ def scan(docs: DataFrame) -> DataFrame:
                         for begin, end in testable(value):
                             if not any(x < seen + end and seen + begin < y for _, x, y in found):
                                 candidates[a + d].append({"start": seen + begin, "end": seen + end, "value": value[begin:end]})
-            yield pa.RecordBatch.from_arrays([pa.array([None] * len(text), pa.list_(pa.int64())), batch.column("doc_id"), pa.array(base, _BASE), pa.array(candidates, _CANDIDATES)], ["letters", "doc_id", "base", "candidates"])
-        yield pa.RecordBatch.from_arrays([pa.array([letters.tolist()], pa.list_(pa.int64())), pa.array([None], pa.int64()), pa.array([None], _BASE), pa.array([None], _CANDIDATES)], ["letters", "doc_id", "base", "candidates"])
+            yield pa.RecordBatch.from_arrays([pa.array([None] * len(text), pa.list_(pa.int64())), batch.column("doc_id"), pa.array(base, _BASE), pa.array(candidates, _CANDIDATES)], ["pairs", "doc_id", "base", "candidates"])
+        yield pa.RecordBatch.from_arrays([pa.array([pairs.tolist()], pa.list_(pa.int64())), pa.array([None], pa.int64()), pa.array([None], _BASE), pa.array([None], _CANDIDATES)], ["pairs", "doc_id", "base", "candidates"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(
-        work, "letters array<bigint>, doc_id long, base array<struct<kind:string,start:int,end:int>>, candidates array<struct<start:int,end:int,value:string>>"
+        work, "pairs array<bigint>, doc_id long, base array<struct<kind:string,start:int,end:int>>, candidates array<struct<start:int,end:int,value:string>>"
     )
 
 
@@ -221,10 +330,11 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
     """Per row: doc_id, n_assign, n_access, n_hex, base_spans and spans as text."""
     spark = docs.sparkSession
     rows = common.written(scan(docs), "secrets")
-    counted = {r["byte"]: r["n"] for r in rows.select(F.posexplode("letters").alias("byte", "n")).groupBy("byte").agg(F.sum("n").alias("n")).collect()}
-    total = sum(counted.get(ord(c), 0) + 1 for c in string.ascii_letters)
-    frequencies = {c: (counted.get(ord(c), 0) + 1) / total for c in string.ascii_letters}
-    shared = spark.sparkContext.broadcast(frequencies)
+    # One number for each pair of symbols.
+    counted = rows.select(F.posexplode("pairs").alias("pair", "n")).groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    pairs = np.zeros(len(SYMBOLS) ** 2, np.int64)
+    pairs[[r["pair"] for r in counted]] = [r["n"] for r in counted]
+    shared = spark.sparkContext.broadcast(TextHypothesis(pairs.reshape(len(SYMBOLS), -1)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,17 +342,15 @@ def find_secrets(docs: DataFrame, rate: float = RATE) -> DataFrame:
             for candidates in batch.column("candidates").to_pylist():
                 mine = []
                 for c in candidates or ():
-                    _, symbols = infer_encoding(c["value"])
-                    if randomness(c["value"], symbols) >= LEVEL:
-                        evidence = against_text(c["value"], symbols, shared.value)
-                        mine.append({"start": c["start"], "end": c["end"], "band": _band(len(c["value"])), "bin": min(BINS - 1, int(evidence * 10))})
-                    else:
-                        mine.append({"start": c["start"], "end": c["end"], "band": _band(len(c["value"])), "bin": 0})
+                    name, symbols = infer_encoding(c["value"])
+                    even = randomness(c["value"], symbols) >= LEVEL
+                    bin_ = min(BINS - 1, int(10 * shared.value.evidence(c["value"], name, symbols))) if even else 0
+                    mine.append({"start": c["start"], "end": c["end"], "band": _band(len(c["value"])), "bin": bin_})
                 out.append(mine)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("base"), pa.array(out, _JUDGED)], ["doc_id", "base", "judged"])
 
     judged = common.written(
-        rows.where("letters IS NULL").select("doc_id", "base", "candidates").mapInArrow(judge, "doc_id long, base array<struct<kind:string,start:int,end:int>>, judged array<struct<start:int,end:int,band:int,bin:int>>"), "judged"
+        rows.where("pairs IS NULL").select("doc_id", "base", "candidates").mapInArrow(judge, "doc_id long, base array<struct<kind:string,start:int,end:int>>, judged array<struct<start:int,end:int,band:int,bin:int>>"), "judged"
     )
     histogram = {(r["band"], r["bin"]): r["n"] for r in judged.select(F.explode("judged").alias("j")).groupBy("j.band", "j.bin").agg(F.count(F.lit(1)).alias("n")).collect()}
     least = thresholds(histogram, rate)
