@@ -53,9 +53,11 @@ from . import common, graph, packed, textkit
 CHUNKS_TO_BUCKET = 3
 #: Of a task of the search: shingles at most (one longer set is a block), and sets of one cluster.
 CLUSTER_ELEMENTS = 2_000_000
-BLOCK_SETS = 256
+BLOCK_SETS = 128
 #: Sets of a large cluster that every block is held against, about.
 HUBS = 32
+#: Copies of each set, on average, from which on a large cluster's lists are looked at: they cost a few copies themselves.
+BLOCK_COPIES = 16
 _LOW = np.uint64((1 << 40) - 1)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of what a chunk sends: documents, list entries, subset hashes, links found, sets.
@@ -419,7 +421,8 @@ def _unsettled_links(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
     top = common.written(top.select("cluster", "top", "m", "u", *(F.ceil(F.col(c) / BLOCK_SETS).cast("int").alias(f"n{c}") for c in "mu")), "unsettled")
     if top.isEmpty():
         return None
-    rows = known.join(common.sized(top.select("cluster", "top")), "cluster").select("doc_id", "cluster", "root", (F.col("root") != F.col("top")).alias("unsettled"))
+    copies = F.col("m") * F.col("nu") + F.col("u") * F.col("nm")
+    rows = known.join(common.sized(top), "cluster").select("doc_id", "cluster", "root", (F.col("root") != F.col("top")).alias("unsettled"), "nm", "nu", (copies > BLOCK_COPIES * F.col("m")).alias("many"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -427,16 +430,15 @@ def _unsettled_links(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
             keys, of = rule.lists(batch.column("n").to_numpy(), np.frombuffer(b"".join(batch.column("own").to_pylist()), np.uint64), bounds)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(of)) for c in ("doc_id", "cluster", "root", "unsettled"))], ["name", "doc_id", "cluster", "root", "unsettled"])
 
-    entries = rows.join(sets, "doc_id").select("doc_id", "cluster", "root", "unsettled", "n", "own").mapInArrow(keyed, "name long, doc_id long, cluster long, root long, unsettled boolean")
+    entries = rows.where("many").join(sets, "doc_id").select("doc_id", "cluster", "root", "unsettled", "n", "own").mapInArrow(keyed, "name long, doc_id long, cluster long, root long, unsettled boolean")
     lists = entries.groupBy("cluster", "name").agg(F.count(F.lit(1)).alias("m"), F.count_if("unsettled").alias("u"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("u > 0 AND lo <> hi")
-    copies = F.col("m") * F.col("nu") + F.col("u") * F.col("nm")
     lists = lists.select("cluster", "name", "m", "u", *(F.ceil(F.col(c) / BLOCK_SETS).cast("int").alias(f"n{c}") for c in "mu"))
     lists = common.written(lists.withColumn("copies", copies), "lists")
-    # The cheaper way for each cluster: its lists one by one, or all its blocks.
+    # The cheaper way for each cluster: its lists one by one, or all its blocks. Those without lists left have nothing to compare.
     cost = lists.groupBy("cluster").agg(F.sum("copies").alias("by_lists"))
-    way = common.written(top.join(cost, "cluster").select("cluster", "nm", "nu", (F.col("by_lists") < copies).alias("by_list")), "ways")
-    whole = rows.join(common.sized(way.where("NOT by_list")), "cluster").withColumn("name", F.col("cluster"))
-    listed = entries.join(common.sized(way.where("by_list").select("cluster", "by_list")), "cluster").join(common.sized(lists.select("cluster", "name", "nm", "nu")), ["cluster", "name"])
+    way = common.written(top.where(copies > BLOCK_COPIES * F.col("m")).join(cost, "cluster", "left").select("cluster", F.coalesce(F.col("by_lists") < copies, F.lit(True)).alias("by_list")), "ways")
+    whole = rows.join(common.sized(way), "cluster", "left").where("NOT many OR NOT by_list").withColumns({"name": F.col("cluster"), "by_list": F.lit(False)}).drop("many")
+    listed = entries.join(common.sized(way.where("by_list")), "cluster").join(common.sized(lists.select("cluster", "name", "nm", "nu")), ["cluster", "name"])
     dealt = whole.unionByName(listed).withColumns({"block": F.pmod(F.xxhash64("doc_id"), F.col("nm")).cast("int"), "turn": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("nu")).cast("int")})
     columns = ["doc_id", "name", "by_list", "root", "unsettled"]
     still = dealt.select(*columns, F.lit(False).alias("seeks"), "block", F.explode(F.sequence(F.lit(0), F.col("nu") - 1)).alias("turn"))
