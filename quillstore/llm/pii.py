@@ -14,14 +14,16 @@ Candidates in a context whose pattern ends at ``ACCEPT`` or more, with at least
 different seeds behind it, are spans of that pattern's kind. Base spans always stay; a candidate that
 overlaps one is never taken.
 
-Sums over patterns and instances are aggregated partially, and no group is collected but the spans of one
-document. Null texts are empty; rows come back as they came in, with null or repeated doc_ids;
+Texts are read once: matches are cut out, checked and hashed with their contexts (whole words, of any length) in the row.
+Their places are running sums over the matches of a kind, and whether a candidate is free is a running maximum of the base
+spans' ends, both in windows over one exchange by row; so time grows as n log n with the matches of a text. Sums over
+patterns and instances are aggregated partially, and no group is collected but the spans of one document. Null texts are empty; rows come back as they came in, with null or repeated doc_ids;
 extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,7 +33,6 @@ ROUNDS = 3
 ACCEPT = 0.8
 SHRINK = 2.0
 SUPPORT = 5
-CONTEXT = 48
 
 # The base patterns, written so that Java's matcher takes linear time and constant stack: a
 # match can only begin where its first run does or where the last match ended, and repeated groups
@@ -70,67 +71,58 @@ def _may_hold(kind: str, text: Column) -> Column:
     return text.contains("@") if kind == "email" else text.contains("+") if kind == "phone" else text.rlike("[0-9@]" if kind == "candidate" else "[0-9]")
 
 
-def _total(lengths: Column, n: Column) -> Column:
-    return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda a, x: a + x)
+_MATCHES = "array<struct<no:int,skip:int,size:int,valid:boolean,instance:bigint,contexts:array<bigint>>>"
 
 
-def _placed(df: DataFrame, kind: str, pattern: str, valid) -> DataFrame:
-    """Adds a column ``kind``: array of (start, no, end, value, left, right) of the valid matches of ``text``, in code points.
+def _contexts(before: Column, value: Column, after: Column) -> Column:
+    """Hashes of the contexts of an identifier that stands between two pieces of text.
 
-    Places are sums of the lengths of matches and of what stands between them, taken in blocks of about
-    the square root of their number.
+    The words before are read from the piece's end, backwards, so that a long piece costs no search.
     """
+    plain = lambda text: F.regexp_replace(F.lower(text), r"[0-9]+", "9")
+    back = F.reverse(before)
+    # What stands between the word and the identifier counts: "card: 1" and "card 1" differ.
+    one = plain(F.reverse(F.regexp_extract(back, r"^(\s*+\S++)", 1)))
+    two = plain(F.reverse(F.regexp_extract(back, r"^(\s*+\S++\s++\S++)", 1)))
+    right = plain(F.regexp_extract(after, r"^([^\s\p{L}]{0,3}\s*\S+)", 1))
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[0-9]", "9"), r"\p{L}", "a"), r"(9|a)\1{3,}+", "$1$1$1$1")
+    return F.array_compact(F.array(
+        F.when(one != "", F.xxhash64(F.lit("1"), one, shape)), F.when(two != "", F.xxhash64(F.lit("2"), two)), F.when((one != "") & (right != ""), F.xxhash64(F.lit("b"), one, right))
+    ))
+
+
+def _matches(df: DataFrame, kind: str, pattern: str, valid) -> DataFrame:
+    """Adds a column ``kind``: the matches of ``text`` in turn, each with the length of what stands between it and the one before."""
     no = KINDS.index(kind) if kind in KINDS else len(KINDS)
     df = df.withColumn("m", F.when(_may_hold(kind, F.col("text")), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
     df = df.withColumn("n", F.coalesce(F.size("m"), F.lit(0)))
     df = df.withColumn("g", F.when(F.col("n") > 0, F.split("text", pattern, -1)))
-    df = df.withColumn("s", F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: F.length(F.get("g", i)) + F.length(F.get("m", i)))))
-    df = df.withColumn("b", F.ceil(F.sqrt(F.greatest("n", F.lit(1)))).cast("int"))
-    last = F.greatest(F.ceil(F.col("n") / F.col("b")).cast("int") - 1, F.lit(0))
-    df = df.withColumn("t", F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice("s", k * F.col("b") + 1, F.col("b")), F.lit(0), lambda a, x: a + x))))
-    df = df.withColumn("p", F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), last), lambda k: _total(F.col("t"), k))))
-
-    def span(i: Column) -> Column:
-        block = F.floor(i / F.col("b")).cast("int")
-        before = F.get("p", block) + F.aggregate(F.slice("s", block * F.col("b") + 1, i - block * F.col("b")), F.lit(0), lambda a, x: a + x)
-        start = before + F.length(F.get("g", i))
-        return F.struct(
-            start.alias("start"), F.lit(no).alias("no"), (start + F.length(F.get("m", i))).alias("end"), F.get("m", i).alias("value"),
-            F.substring(F.get("g", i), -CONTEXT, CONTEXT).alias("left"), F.substring(F.get("g", i + 1), 1, CONTEXT).alias("right"),
-        )
-
-    found = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), span))
-    df = df.withColumn("f", found)
-    return df.withColumn(kind, F.coalesce(F.filter("f", lambda x: valid(x["value"])), F.array().cast(_SPANS))).drop("m", "n", "g", "s", "b", "t", "p", "f")
-
-
-_SPANS = "array<struct<start:int,no:int,end:int,value:string,left:string,right:string>>"
+    df = df.withColumn("z", F.when(F.col("n") > 0, F.arrays_zip("m", F.slice("g", F.lit(1), F.col("n")).alias("before"), F.slice("g", F.lit(2), F.col("n")).alias("after"))))
+    each = F.transform("z", lambda z: F.struct(
+        F.lit(no).alias("no"), F.length(z["before"]).alias("skip"), F.length(z["m"]).alias("size"), valid(z["m"]).alias("valid"),
+        F.xxhash64(z["m"]).alias("instance"), _contexts(z["before"], z["m"], z["after"]).alias("contexts"),
+    ))
+    return df.withColumn(kind, F.coalesce(each, F.array()).cast(_MATCHES)).drop("m", "n", "g", "z")
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """Per row: row (a number of its own), doc_id, one array of spans for each kind, and the candidates. Written to the shared folder."""
+def matched(docs: DataFrame) -> DataFrame:
+    """Per row: row (a number of its own), doc_id, and the matches of all kinds, those of each in turn."""
     df = docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text"))
     for kind in KINDS:
-        df = _placed(df, kind, PATTERNS[kind], lambda value, kind=kind: _valid(kind, value))
-    df = _placed(df, "candidate", _CANDIDATE, lambda value: F.lit(True)).drop("text")
-    df = df.withColumn("base", F.array_sort(F.concat(*KINDS)))
-    free = F.filter("candidate", lambda c: ~F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    return common.written(df.withColumn("candidate", free), "spans")
+        df = _matches(df, kind, PATTERNS[kind], lambda value, kind=kind: _valid(kind, value))
+    df = _matches(df, "candidate", _CANDIDATE, lambda value: F.lit(True))
+    return df.select("row", "doc_id", F.concat(*KINDS, "candidate").alias("found"))
 
 
-def _occurrences(spans: DataFrame) -> DataFrame:
-    """(row, start, end, no, instance, pattern) for each context of each seed and candidate."""
-    each = spans.select("row", F.explode(F.concat("base", "candidate")).alias("s")).select("row", "s.*")
-    plain = lambda text: F.regexp_replace(F.lower(text), r"[0-9]+", "9")
-    # What stands between the word and the identifier counts: "card: 1" and "card 1" differ.
-    one = F.regexp_extract(plain(F.col("left")), r"(\S+\s*)$", 1)
-    two = F.regexp_extract(plain(F.col("left")), r"(\S+\s+\S+\s*)$", 1)
-    after = F.regexp_extract(plain(F.col("right")), r"^([^\s\p{L}]{0,3}\s*\S+)", 1)
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[0-9]", "9"), r"\p{L}", "a"), r"(9|a)\1{3,}", "$1$1$1$1")
-    contexts = F.array(
-        F.when(one != "", F.xxhash64(F.lit("1"), one, shape)), F.when(two != "", F.xxhash64(F.lit("2"), two)), F.when((one != "") & (after != ""), F.xxhash64(F.lit("b"), one, after))
-    )
-    return each.select("row", "start", "end", "no", F.xxhash64("value").alias("instance"), F.explode(F.array_compact(contexts)).alias("pattern"))
+def placed(matches: DataFrame) -> DataFrame:
+    """(row, no, start, end, instance, contexts) of valid base spans, and of the candidates that overlap none. In code points."""
+    each = matches.select("row", F.posexplode_outer("found").alias("at", "m")).where("at IS NOT NULL").select("row", "at", "m.*").repartition("row")
+    end = F.sum(F.col("skip") + F.col("size")).over(Window.partitionBy("row", "no").orderBy("at")).cast("int")
+    spans = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("size")).where("valid")
+    base = F.col("no") < len(KINDS)
+    # A candidate comes where it ends, before the base spans that begin there; it is free if none so far ends past its beginning.
+    reached = F.max(F.when(base, F.col("end"))).over(Window.partitionBy("row").orderBy(F.when(base, F.col("start")).otherwise(F.col("end")), base).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return spans.withColumn("reached", reached).where(base | F.col("reached").isNull() | (F.col("reached") <= F.col("start"))).select("row", "no", "start", "end", "instance", "contexts")
 
 
 def accepted_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -154,12 +146,17 @@ def accepted_patterns(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame
     return rows.select("pattern", "top.kind", "top.score").where(F.col("score") >= ACCEPT)
 
 
+def base_spans(docs: DataFrame) -> DataFrame:
+    """The spans of ``placed``, in one plan."""
+    return placed(matched(docs))
+
+
 def discovered(spans: DataFrame) -> DataFrame:
-    """(row, found): for rows where there are any, the candidates that accepted patterns take."""
-    occurrences = common.written(_occurrences(spans), "occurrences")
+    """(row, no, start, end) of the candidates that accepted patterns take."""
+    occurrences = common.written(spans.select("row", "start", "end", "no", "instance", F.explode_outer("contexts").alias("pattern")).where("pattern IS NOT NULL"), "occurrences")
     patterns = common.written(accepted_patterns(occurrences), "accepted")
-    taken = occurrences.where(F.col("no") == len(KINDS)).join(patterns, "pattern").groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("no"))
-    return taken.groupBy("row").agg(F.collect_list(F.struct("start", "no", "end")).alias("found"))
+    taken = occurrences.where(F.col("no") == len(KINDS)).join(common.sized(patterns), "pattern")
+    return taken.groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("no")).select("row", "no", "start", "end")
 
 
 def _named(spans: Column) -> Column:
@@ -169,11 +166,20 @@ def _named(spans: Column) -> Column:
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, the number of base spans of each kind, base and spans as text."""
-    spans = base_spans(docs)
-    bare = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["no"].alias("no"), s["end"].alias("end")))
-    joined = spans.select("row", "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], bare.alias("base")).join(discovered(spans), "row", "left")
-    every = F.when(F.col("found").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", F.coalesce("found", F.array().cast("array<struct<start:int,no:int,end:int>>")))))
-    return joined.select("doc_id", *[f"n_{k}" for k in KINDS], _named(F.col("base")).alias("base_spans"), _named(every).alias("spans"))
+    rows = common.written(matched(docs), "matches")
+    spans = common.written(placed(rows), "spans")
+    base = spans.where(F.col("no") < len(KINDS)).select("row", "no", "start", "end", F.lit(True).alias("base"))
+    every = base.unionByName(discovered(spans).withColumn("base", F.lit(False)))
+    one = F.struct("start", "no", "end")
+    # The spans of one row: no longer than its text.
+    found = common.written(
+        every.groupBy("row").agg(
+            F.sort_array(F.collect_list(F.when(F.col("base"), one))).alias("base"), F.sort_array(F.collect_list(one)).alias("every"),
+            *[F.count_if(F.col("base") & (F.col("no") == i)).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        ).select("row", _named(F.col("base")).alias("base_spans"), _named(F.col("every")).alias("spans"), *[f"n_{k}" for k in KINDS]), "found",
+    )
+    joined = rows.select("row", "doc_id").join(common.sized(found), "row", "left")
+    return joined.select("doc_id", *[F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS], *[F.coalesce(c, F.lit("")).alias(c) for c in ("base_spans", "spans")])
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,3 +55,18 @@ def test_no_python_in_the_plan(spark):
     b = spark.range(1).select(F.col("id").alias("item_id"), F.lit("a b c d e f").alias("text"))
     plan = decontaminate.contained(d, b)._jdf.queryExecution().toString()
     assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_boilerplate_makes_no_candidates(spark, monkeypatch):
+    """A passage of every document that is a part of an item gives hits, but fewer than a candidate needs; cutoffs grow with the documents."""
+    r = random.Random(3)
+    own = lambda n: " ".join(f"v{r.randrange(10**6)}" for _ in range(n))
+    passage = own(9)
+    items = spark.createDataFrame([(i, f"{own(40)} {passage} {own(30)}") for i in range(20)] + [(90, own(9))], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{own(60)} {passage} {own(60)}") for i in range(300)], "doc_id long, text string")
+    kept, written = {}, decontaminate.common.written
+    monkeypatch.setattr(decontaminate.common, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    assert decontaminate.contained(docs, items).count() == 0
+    assert kept["candidates"].count() <= 10
+    cutoffs = [x.cutoff for x in decontaminate._cutoffs(kept["sketches"]).orderBy("size_partition").collect()]
+    assert cutoffs == sorted(cutoffs) and 0 < len(cutoffs) < 64

@@ -85,3 +85,57 @@ def test_no_python_in_the_plan(spark):
     df = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("mail a@b.c").alias("text"))
     plan = pii.base_spans(df)._jdf.queryExecution().toString()
     assert "Arrow" not in plan and "Python" not in plan
+
+
+def test_time_grows_with_the_matches_of_a_text(spark):
+    """Some 120 KB of addresses and candidates in one text, and twice that."""
+    import time
+
+    text = lambda n: " ".join(f"10.{i % 250}.{i // 250 % 250}.7 id{i:06d}" for i in range(n))
+    took = []
+    for n in (50, 6000, 12000):
+        df = spark.createDataFrame([(1, text(n)), (2, None)], "doc_id long, text string")
+        began = time.time()
+        row = {x.doc_id: x for x in pii.find_personal_data(df).collect()}
+        took.append(time.time() - began)
+        assert row[1].n_ip == n and row[2].spans == ""
+    # What any run takes, and twice the rest at most and a half for noise.
+    assert took[2] - took[0] < 2.5 * max(took[1] - took[0], 1.0), took
+
+
+def test_words_of_any_length_are_contexts(spark):
+    """Long words before an identifier count whole."""
+    long = "x" * 5000
+    rows = [(i, f"{long} mail: user{i}@host{i}.example.com now") for i in range(60)] + [(300, f"{long} mail: a@b12 now"), (301, f"{long}y mail: a@b12 then")]
+    out = {x.doc_id: x.spans for x in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[300] == "email:5007:5012"
+
+
+def _plain_scores(links, rounds=pii.ROUNDS):
+    """Pattern scores by kind: links of (pattern, instance, kind number), as the module's docstring says."""
+    kinds = range(len(pii.KINDS))
+    edges = {(p, i) for p, i, _ in links}
+    seed = {(p, i): [max(float(k == n) for q, j, n in links if (q, j) == (p, i)) for k in kinds] for p, i in edges}
+    scores = None
+    for _ in range(rounds):
+        now = {}
+        for p in {p for p, _ in edges}:
+            own = [i for q, i in edges if q == p]
+            value = lambda i, k: seed[p, i][k] if scores is None or max(seed[p, i]) > 0 else max(scores[q][k] for q, j in edges if j == i)  # noqa: E731, B023
+            now[p] = [sum(value(i, k) for i in own) / (len(own) + pii.SHRINK) for k in kinds]
+        scores = now
+    out = {}
+    for p, s in scores.items():
+        enough = [k for k in kinds if sum(seed[p, i][k] for q, i in edges if q == p) >= pii.SUPPORT]
+        if enough and max(s[k] for k in enough) >= pii.ACCEPT:
+            out[p] = max((s[k], k) for k in enough)
+    return out
+
+
+def test_scores_against_a_plain_version(spark):
+    r = random.Random(8)
+    links = sorted({(p, f"i{r.randrange(60)}" if r.random() < 0.3 else f"{p}-{r.randrange(25)}", r.choice((p % 4, p % 4, p % 4, p % 4, p % 4, len(pii.KINDS), (p + 1) % 4 if p > 9 else p % 4))) for p in range(14) for _ in range(60)})
+    got = {x.pattern: (x.score, x.kind) for x in pii.accepted_patterns(spark.createDataFrame(links, "pattern long, instance string, no int")).collect()}
+    want = _plain_scores(links)
+    assert got.keys() == want.keys() and len(want) >= 3
+    assert all(abs(got[p][0] - want[p][0]) < 1e-9 and got[p][1] == want[p][1] for p in want)
