@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import listing, state
+from ..shared import shared_dir
 from ..store import Store
 from . import collections as K
 
@@ -109,11 +109,10 @@ def crc_payload(spark, sf_dir):
 
 def stored_mutations(spark, sf_dir):
     """A store written in three batches (the last put of each user; some deletes; some of them put again), compacted, and read."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/quillstore").rstrip("/")
     log = K.mutations(spark, sf_dir).where("op = 'put'").withColumnRenamed("doc", "text")
     last = log.groupBy("collection", "id").agg(F.max_by("text", F.struct("batch", "pos")).alias("text"))
     number = F.col("id").cast("long")
-    with Store(spark, f"{folder}/store-{uuid.uuid4().hex}") as store:
+    with Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}") as store:
         store.put_all(last)
         store.delete_all(last.where(number % 7 == 0))
         store.put_all(last.where(number % 14 == 0).withColumn("text", F.lit('{ "k" : 1.50, "again": null }')))
