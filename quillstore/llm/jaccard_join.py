@@ -7,10 +7,10 @@
    subsets of the least overlap is cheaper than scanning lists, send the hashes of those
    fixed-size subsets: sharing one *is* the link. Heavy sets send entries of inverted lists. The
    list of a single shingle holds unrelated texts wherever shingles are common, so a list's key is
-   the content of one *part*: shingles are dealt by hash into one part more than two linked sets
-   of a size class can differ in, so linked sets agree wholly in one part at least. A part without
-   shingles says nothing, so it is joined with each of the set's rarest shingles (as many as any partner must
-   share one of). Entries of one key fold into a star around its smallest member, in the chunk and again
+   the content of one *part*: shingles are dealt by hash into some parts more than two linked sets
+   of a size class can differ in, so linked sets agree wholly in some parts. A part without
+   shingles says nothing; there are so many parts more that linked sets agree in another, too, and where a set has
+   more empty ones, those are joined with each of the set's rarest shingles (as many as any partner must share one of). Entries of one key fold into a star around its smallest member, in the chunk and again
    in the bucket, so a key in a third of all documents weighs one entry a chunk.
 3. Stars connect heavy sets to clusters, which only say what travels together: each set is
    compared with those alone that share one of its lists, whose size allows a link, and which the search has not yet
@@ -51,9 +51,11 @@ from . import common, graph, packed, textkit
 
 #: Some two million entries at the smallest chunks: each word begins a shingle.
 CHUNKS_TO_BUCKET = 3
-#: Of a task of the search: shingles at most (one longer set is a block), and sets of one cluster.
+#: Of a task of the search: shingles at most (one longer set is a block), and sets of one cluster. Where blocks are held against one
+#: another, fewer larger ones copy fewer sets.
 CLUSTER_ELEMENTS = 2_000_000
 BLOCK_SETS = 128
+SEEK_SETS = 1024
 #: Sets of a large cluster that every block is held against, about.
 HUBS = 32
 #: Copies of each set, on average, from which on a large cluster's lists are looked at: they cost a few copies themselves.
@@ -89,24 +91,35 @@ class Rule:
         return n
 
     @functools.cached_property
-    def size_classes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where size classes begin, and the parts of each.
+    def size_classes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where size classes begin, the parts of each, and how many parts more than one two linked sets agree in.
 
         A linked set is at most 100 / percent times as large, so it is in the same class or the next. Pairs meet under the
-        larger one's class, whose sizes are all under the next class's beginning: that bounds their difference.
+        larger one's class, whose sizes are all under the next class's beginning: that bounds their difference, and they agree in all
+        parts but so many. Of agreeing parts, some may be empty; a few parts more make sure that one isn't, unless a set has more
+        empty ones than that. How many is chosen to give the fewest keys.
         """
         starts = [1]
         while starts[-1] < 1 << 40:
             starts.append(starts[-1] * 100 // self.percent + 1)
-        most = np.array(starts[1:], np.int64) - 1
-        return np.array(starts[:-1], np.int64), (100 - self.percent) * 2 * most // (100 + self.percent) + 1
+        begin, most = np.array(starts[:-1], np.int64), np.array(starts[1:], np.int64) - 1
+        differ = (100 - self.percent) * 2 * most // (100 + self.percent)
+        more = ((differ + 1)[:, None] * np.linspace(0, 0.6, 61)).astype(np.int64)
+        parts = differ[:, None] + 1 + more
+        empty = parts * np.exp(-0.9 * begin[:, None] / parts)
+        spread = np.sqrt(empty) + 1e-9
+        z = (more - empty) / spread
+        beyond = spread * np.maximum(0, np.exp(-z * z / 2) / math.sqrt(2 * math.pi) - z * np.vectorize(math.erfc)(z / math.sqrt(2)) / 2)
+        best = np.argmin(parts - empty + beyond * (self.spare(begin)[:, None] + 1), 1)
+        every = np.arange(len(begin))
+        return begin, parts[every, best], more[every, best]
 
     def lists(self, sizes: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the lists that sets are in, and which set each is of.
 
         Set k has sizes[k] shingles, of which flat[bounds[k]:bounds[k + 1]] may be in others, rarest first.
         """
-        starts, parts = self.size_classes
+        starts, parts, more = self.size_classes
         every, held = np.arange(len(sizes)), np.diff(bounds)
         owner, own = np.repeat(every, held), np.searchsorted(starts, sizes, side="right") - 1
         mixed = textkit.mix(flat ^ _GOLDEN)
@@ -123,9 +136,12 @@ class Rule:
             full = np.bincount(cell, minlength=len(of)) > 0
             keys.append(textkit.mix(total[full] ^ name[full]))
             owners.append(of[full])
+            # Of a set's empty parts, all but the last ``more``: the first that two linked sets agree in is among those of both, or they agree in one that isn't empty.
             bare = np.flatnonzero(~full)
+            count = np.bincount(of[bare], minlength=len(sizes))
+            bare = bare[np.arange(len(bare)) - np.r_[0, np.cumsum(count)][of[bare]] < (count - more[label])[of[bare]]]
             each = prefix[of[bare]]
-            at = np.repeat(bounds[of[bare]] - np.r_[0, np.cumsum(each)][:-1], each) + np.arange(int(each.sum()))
+            at = _ranges(bounds[of[bare]], each)
             keys.append(textkit.mix(flat[at] + np.repeat(name[bare] * _GOLDEN, each)))
             owners.append(np.repeat(of[bare], each))
         return np.concatenate(keys), np.concatenate(owners)
@@ -273,6 +289,7 @@ def _entries(table: pa.Table, replies: pa.Table, rule: Rule, buckets: int) -> pa
         own, cuts = flat[at[order]], np.r_[0, np.cumsum(each - gone[heavy])]
         keys, of = rule.lists(each, own, cuts)
         found, stand = _stars([keys], docs[chosen[heavy[of]]])
+        found = _once(*found)
         rows.append((-1, LISTS, found[0].tobytes(), found[1].tobytes()))
         dealt = packed.dealt(0, keys[stand], [keys[stand], docs[chosen[heavy[of[stand]]]].view(np.uint64)], buckets, (6, 8))
         rows += [(r["bucket"], LISTS, r["c0"], r["c1"]) for r in dealt.to_pylist()]
@@ -295,12 +312,20 @@ def _edges(kind: int, a: np.ndarray, b: np.ndarray) -> pa.Table:
     return pa.table({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64))})
 
 
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once: sets that share one list share many."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+    return a[new], b[new]
+
+
 def _met(table: pa.Table, rule: Rule) -> pa.Table:
     """Stars of the keys of one bucket."""
     column = lambda i, width: np.concatenate([packed.widened(x.as_py(), width) for x in table.column(f"c{i}")])
     docs = column(1, 8).view(np.int64)
     if table.column("kind")[0].as_py() == LISTS:
-        return _edges(LISTS, *_stars([column(0, 6)], docs)[0])
+        return _edges(LISTS, *_once(*_stars([column(0, 6)], docs)[0]))
     return _edges(LINKS, *_stars([column(0, 8), column(4, 8)], docs, column(2, 3).view(np.int64), column(3, 3).view(np.int64), rule)[0])
 
 
@@ -414,11 +439,15 @@ def _sought(table: pa.Table, rule: Rule) -> pa.Table:
 def _unsettled_links(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
     """Links between the classes of large clusters: each set outside the largest class against the rest of its cluster.
 
-    ``known`` is (doc_id, cluster, root) of all their sets.
+    ``known`` is (doc_id, cluster, root, n) of all their sets.
     """
-    sizes = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("cluster").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.sum("n").alias("m"), (F.sum("n") - F.max("n")).alias("u")).where("u > 0")
-    top = common.written(top.select("cluster", "top", "m", "u", *(F.ceil(F.col(c) / BLOCK_SETS).cast("int").alias(f"n{c}") for c in "mu")), "unsettled")
+    blocks = [F.ceil(F.greatest(F.col(c) / SEEK_SETS, F.col(f"{c}_elements") / CLUSTER_ELEMENTS)).cast("int").alias(f"n{c}") for c in "mu"]
+    sizes = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("elements")).withColumn("size", F.struct("sets", "root"))
+    top = sizes.groupBy("cluster").agg(
+        F.max_by("root", "size").alias("top"), F.sum("sets").alias("m"), (F.sum("sets") - F.max_by("sets", "size")).alias("u"),
+        F.sum("elements").alias("m_elements"), (F.sum("elements") - F.max_by("elements", "size")).alias("u_elements"),
+    )
+    top = common.written(top.where("u > 0").select("cluster", "top", "m", "u", *blocks), "unsettled")
     if top.isEmpty():
         return None
     copies = F.col("m") * F.col("nu") + F.col("u") * F.col("nm")
@@ -428,15 +457,18 @@ def _unsettled_links(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
         for batch in batches:
             bounds = np.r_[0, np.cumsum([len(x) // 8 for x in batch.column("own").to_pylist()])].astype(np.int64)
             keys, of = rule.lists(batch.column("n").to_numpy(), np.frombuffer(b"".join(batch.column("own").to_pylist()), np.uint64), bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(of)) for c in ("doc_id", "cluster", "root", "unsettled"))], ["name", "doc_id", "cluster", "root", "unsettled"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(of)) for c in ("doc_id", "cluster", "root", "unsettled", "n"))], ["name", "doc_id", "cluster", "root", "unsettled", "n"])
 
-    entries = rows.where("many").join(sets, "doc_id").select("doc_id", "cluster", "root", "unsettled", "n", "own").mapInArrow(keyed, "name long, doc_id long, cluster long, root long, unsettled boolean")
-    lists = entries.groupBy("cluster", "name").agg(F.count(F.lit(1)).alias("m"), F.count_if("unsettled").alias("u"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("u > 0 AND lo <> hi")
-    lists = lists.select("cluster", "name", "m", "u", *(F.ceil(F.col(c) / BLOCK_SETS).cast("int").alias(f"n{c}") for c in "mu"))
+    entries = rows.where("many").join(sets, "doc_id").select("doc_id", "cluster", "root", "unsettled", "n", "own").mapInArrow(keyed, "name long, doc_id long, cluster long, root long, unsettled boolean, n long")
+    lists = entries.groupBy("cluster", "name").agg(
+        F.count(F.lit(1)).alias("m"), F.count_if("unsettled").alias("u"), F.sum("n").alias("m_elements"), F.sum(F.when(F.col("unsettled"), F.col("n")).otherwise(0)).alias("u_elements"),
+        F.min("root").alias("lo"), F.max("root").alias("hi"),
+    ).where("u > 0 AND lo <> hi").select("cluster", "name", "m", "u", *blocks)
     lists = common.written(lists.withColumn("copies", copies), "lists")
     # The cheaper way for each cluster: its lists one by one, or all its blocks. Those without lists left have nothing to compare.
     cost = lists.groupBy("cluster").agg(F.sum("copies").alias("by_lists"))
     way = common.written(top.where(copies > BLOCK_COPIES * F.col("m")).join(cost, "cluster", "left").select("cluster", F.coalesce(F.col("by_lists") < copies, F.lit(True)).alias("by_list")), "ways")
+    entries = entries.drop("n")
     whole = rows.join(common.sized(way), "cluster", "left").where("NOT many OR NOT by_list").withColumns({"name": F.col("cluster"), "by_list": F.lit(False)}).drop("many")
     listed = entries.join(common.sized(way.where("by_list")), "cluster").join(common.sized(lists.select("cluster", "name", "nm", "nu")), ["cluster", "name"])
     dealt = whole.unionByName(listed).withColumns({"block": F.pmod(F.xxhash64("doc_id"), F.col("nm")).cast("int"), "turn": F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("nu")).cast("int")})
@@ -495,7 +527,7 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     found = common.written(links.where(f"kind = {LINKS}").select("a", "b").unionByName(verified.select("a", "b")), "found")
     roots = graph.components(found)
     if not large.isEmpty():
-        known = member.join(common.sized(large), "cluster").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "cluster", F.coalesce("root", "doc_id").alias("root"))
+        known = member.join(common.sized(large), "cluster").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "cluster", F.coalesce("root", "doc_id").alias("root"), "n")
         more = _unsettled_links(common.written(known, "known"), sets, rule)
         if more is not None:
             roots = graph.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))

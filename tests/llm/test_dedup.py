@@ -83,6 +83,7 @@ def test_jaccard(spark, monkeypatch, width, percent):
 def test_large_clusters(spark, monkeypatch, width, percent):
     """Near copies, groups that share parts without linking, and a chain of overlapping texts, in clusters of many small blocks."""
     monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard_join, "SEEK_SETS", 4)
     monkeypatch.setattr(jaccard_join, "HUBS", 1)
     ways = []
     monkeypatch.setattr(jaccard_join, "_unsettled_links", lambda known, sets, rule, own=jaccard_join._unsettled_links: ways.append(own(known, sets, rule)) or ways[-1])
@@ -111,7 +112,7 @@ def test_either_way_of_settling_finds_every_link(spark, monkeypatch):
 
     kept, written = {}, jaccard_join.common.written
     monkeypatch.setattr(jaccard_join.common, "written", lambda df, name: kept.setdefault(name, []).append(written(df, name)) or kept[name][-1])
-    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard_join, "SEEK_SETS", 4)
 
     r, rule = random.Random(3), jaccard_join.Rule(3, 90)
     for shift, count, by_list in ((3, 300, True), (0, 40, False)):
@@ -120,7 +121,7 @@ def test_either_way_of_settling_finds_every_link(spark, monkeypatch):
         for i, x in enumerate(own):
             x[:3] = [r.getrandbits(64) for _ in range(3)]
         sets = spark.createDataFrame([(i, len(x), bytearray(x.tobytes())) for i, x in enumerate(own)], "doc_id long, n long, own binary")
-        known = spark.createDataFrame([(i, 7, i) for i in range(count)], "doc_id long, cluster long, root long")
+        known = spark.createDataFrame([(i, 7, i, 150) for i in range(count)], "doc_id long, cluster long, root long, n long")
         found = jaccard_join._unsettled_links(known, sets, rule)
         got = {tuple(sorted((x.a, x.b))) for x in found.collect()}
         held = [set(x.tolist()) for x in own]
