@@ -23,17 +23,19 @@ def components(edges: DataFrame) -> DataFrame:
     while not left.isEmpty():
         parents = common.written(left.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root")), "parents")
         while True:
+            # The roots that have a root themselves, each once: a hub's many nodes then meet one row, broadcast if all are few.
             above = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = common.written(parents.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "parents")
-            parents = jumped.select("node", "root")
-            if jumped.where("moved").isEmpty():
+            moves = common.written(parents.select("root").distinct().join(above, "root"), "moves")
+            if moves.isEmpty():
                 break
+            parents = common.written(parents.join(common.sized(moves), "root", "left").select("node", F.coalesce("above", "root").alias("root")), "parents")
+        known = common.sized(parents)
         for side in ("lo", "hi"):
-            left = left.join(parents.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(side, F.coalesce(f"{side}_root", side)).drop(f"{side}_root")
+            left = left.join(known.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(side, F.coalesce(f"{side}_root", side)).drop(f"{side}_root")
         left = common.written(left.where("lo != hi").select(F.least("lo", "hi").alias("lo"), F.greatest("lo", "hi").alias("hi")).distinct(), "links")
         if found is None:
             found = parents
         else:
-            step = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            step = known.select(F.col("node").alias("root"), F.col("root").alias("above"))
             found = common.written(found.join(step, "root", "left").select("node", F.coalesce("above", "root").alias("root")).unionByName(parents), "components")
     return found if found is not None else spark.createDataFrame([], "node long, root long")

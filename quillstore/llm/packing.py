@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common, textkit
 from .token_counts import SegmentEncoder, distinct, segment_bytes, segments_of, tokenizer_path
@@ -190,3 +191,15 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, group: int = GROUP, te
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"))
+
+
+def packed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4's result, what SQL can say too: per document, whether its pieces lie end to end from its first id to its last, and hold them all."""
+    pieces = op4_packing(spark, sf_dir)
+    # The pieces of one document.
+    each = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("p"), F.max("doc_tokens").alias("most"), F.min("doc_tokens").alias("least"))
+    joined = F.aggregate("p", F.lit(0).cast("long"), lambda at, x: F.when(x["start"] == at, at + x["length"]).otherwise(F.lit(-1)))
+    return each.select("doc_id", ((joined == F.col("most")) & (F.col("most") == F.col("least"))).alias("whole"))
+
+
+WHOLE_ORACLE = "SELECT doc_id, true AS whole FROM documents"

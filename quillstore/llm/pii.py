@@ -185,3 +185,23 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op10's result, what SQL can say too."""
+    return op10_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in KINDS])
+
+
+COUNTS_ORACLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS email,
+  regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS ip,
+  list_transform(regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+'), lambda v: reverse(regexp_replace(v, '[\x20-]', '', 'g'))) AS card,
+  list_transform(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda v: regexp_replace(v, '[^0-9]', '', 'g')) AS phone FROM t)
+SELECT doc_id, len(email)::BIGINT AS n_email,
+  len(list_filter(ip, lambda v: list_max(list_transform(string_split(v, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE CAST(x AS INTEGER) END)) <= 255))::BIGINT AS n_ip,
+  len(list_filter(card, lambda v: length(v) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(v) + 1), lambda i:
+    CASE WHEN i % 2 = 1 THEN CAST(v[i] AS INTEGER) WHEN v[i] > '4' THEN 2 * CAST(v[i] AS INTEGER) - 9 ELSE 2 * CAST(v[i] AS INTEGER) END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(phone, lambda v: length(v) BETWEEN 9 AND 15))::BIGINT AS n_phone
+FROM m
+"""

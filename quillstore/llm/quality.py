@@ -11,7 +11,7 @@ doc_id among rows whose crc32(doc_id as text) mod 4 isn't 2. The sample bounds w
 driver holds; scoring reads every document whole, where it lies, with no shuffle.
 
 Null texts count as empty and are scored from their statistics. Without labels every score is 0.5. Null doc_ids
-are never training rows. Several labels of one doc_id count as their least. Rows come back as they came,
+are never training rows. Several labels of one doc_id count as their least, and of rows with one doc_id the least text is learnt from. Rows come back as they came,
 repeated ones too; extra columns are ignored by ``score`` and kept by ``drop_rejected``.
 """
 
@@ -191,9 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
                 yield pa.RecordBatch.from_arrays([batch.column("id")[a:b], batch.column("label")[a:b], pa.array([p[0] for p in pieces], pa.binary()), pa.array([p[1] for p in pieces], pa.binary())], ["id", "label", "i", "v"])
 
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), docs["text"].cast("string").alias("text"), _metadata(docs).alias("chars"))
-    # The sample is bounded by its parameter, so it may be broadcast.
-    rows = texts.join(F.broadcast(wanted), "id").select("id", "label", "text", "chars").mapInArrow(work, "id long, label int, i binary, v binary").toArrow().to_pylist()
-    rows = sorted({r["id"]: r for r in sorted(rows, key=lambda r: (r["id"], r["i"], r["v"]))}.values(), key=lambda r: r["id"])
+    # The sample is bounded by its parameter, so it may be broadcast. Of rows with one doc_id one is taken, before any reaches the driver.
+    once = texts.join(F.broadcast(wanted), "id").groupBy("id", "label").agg(F.min(F.struct(F.coalesce("text", F.lit("")).alias("text"), "chars")).alias("row"))
+    rows = once.select("id", "label", "row.text", "row.chars").mapInArrow(work, "id long, label int, i binary, v binary").toArrow().to_pylist()
+    rows = sorted(rows, key=lambda r: r["id"])
     return FactorisationMachine.trained([(np.frombuffer(r["i"], "<i4"), np.frombuffer(r["v"], np.float32)) for r in rows], np.array([r["label"] for r in rows], np.float32))
 
 

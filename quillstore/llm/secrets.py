@@ -374,3 +374,18 @@ def _named(spans):
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(common.table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op2's result, what SQL can say too."""
+    return op2_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+COUNTS_ORACLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(text, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda v: length(v) >= 8))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 16))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda v: length(v) >= 32))::BIGINT AS n_hex
+FROM t
+"""

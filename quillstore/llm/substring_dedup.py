@@ -16,6 +16,11 @@ of hash, again once a chunk with the smallest doc_id there.
 Chunks deal documents by a hash of the whole row, so long or hot sources spread; all
 three steps read the one exchange of documents by chunk.
 
+Words are equal when 64 bits of hash agree, windows of different chunks by 96 bits, of one chunk by 64. In 100 TB some 1e10
+different words make about three pairs of equal hash, which matter only inside windows equal in all other words;
+windows (1e13) make about a thousandth of a pair by 96 bits, and about two by 64 over all chunks. So a handful of documents
+of some 1e10 may lose thirteen words by chance.
+
 Null texts have no words. A null doc_id is larger than any other; rows of equal doc_id never
 remove each other's words. Texts of fewer than ``WINDOW`` words are kept whole. Extra columns
 are ignored; an empty table gives an empty result.

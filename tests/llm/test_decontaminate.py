@@ -28,7 +28,7 @@ def test_contained_items(spark):
             words[at:at] = own
         docs.append((i, r.choice((" ", ", ", "!!\n")).join(words).upper() if i % 3 else " ".join(words)))
     docs += [(200, None), (201, ""), (202, "Short, one!"), (None, items[4][1]), docs[5], docs[5], (5, "other text of the same number"), (203, text(20_000) + " " + items[5][1])]
-    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("hash", "w", "item_id", "text_hash", "gone_id", "n", "id", "print")})
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("hash", "w", "item_id", "text_hash", "gone_id", "gone_hash", "n_held", "cutoff", "hits", "n", "id", "print")})
     b = spark.createDataFrame(items, "item_id long, text string").withColumns({c: F.lit("x") for c in ("hash", "shingle", "doc_id")})
     by_item = {}
     for i, t in items:

@@ -57,3 +57,28 @@ def test_odd_rows(spark):
     empty = quality.score(docs, quality.train(docs, labels.limit(0)), "s").select("s").collect()
     assert all(abs(r.s - 0.5) < 0.01 for r in empty)
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def _small(spark):
+    rows = [(i, ("good words in order " if i % 2 else "buy now!!! $$$ click ") * (3 + i % 5), None) for i in range(60)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+
+
+def test_repeated_rows_teach_once(spark):
+    docs, labels = _small(spark)
+    once, often = quality.train(docs, labels), quality.train(docs.unionByName(docs).unionByName(docs.where("doc_id < 20")).repartition(5), labels.unionByName(labels))
+    assert once.bias == often.bias and (once.weights == often.weights).all() and (once.factors == often.factors).all()
+    # The least text stands for its doc_id.
+    other = spark.createDataFrame([(i, "zzz", None) for i in range(60)], "doc_id long, text string, n_chars long")
+    assert (quality.train(docs.unionByName(other), labels).weights == once.weights).all()
+
+
+def test_predicted_follows_the_threshold(spark, tmp_path):
+    docs, labels = _small(spark)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = quality.op1_quality(spark, str(tmp_path)).collect()
+    assert len(rows) == 60 and all(r.predicted == (r.score >= 0.7) for r in rows)
+    assert [r.predicted for r in sorted(rows)] == [i % 2 for i in range(60)]
+    kept = quality.drop_rejected(docs, labels)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(1, 60, 2))
