@@ -55,7 +55,8 @@ def _serve(options) -> int:
 
     spark = SparkSession.builder.appName("quillstore").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     with Store(spark, os.path.abspath(options.dir)) as store, Server((options.bind, options.port), store, token) as server:
-        print(f"listening on http://{options.bind}:{server.server_address[1]}")
+        host = f"[{options.bind}]" if ":" in options.bind else options.bind
+        print(f"listening on http://{host}:{server.server_address[1]}")
         try:
             server.serve_forever()
         except KeyboardInterrupt:

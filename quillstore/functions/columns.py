@@ -44,10 +44,6 @@ def valid_id(id: Column) -> Column:
     return F.coalesce(F.octet_length(id).between(1, MAX_ID_BYTES) & ~id.rlike(r"\p{Cc}"), F.lit(False))
 
 
-def valid_size(doc: Column) -> Column:
-    return F.coalesce(F.octet_length(doc) <= jsontext.MAX_DOC_BYTES, F.lit(False))
-
-
 def crc32(value: Column) -> Column:
     return F.crc32(value.cast("binary"))
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..shared import shared_dir
 
 
 class InvalidRequest(ValueError):
@@ -41,23 +44,22 @@ def get_many(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("id").join(docs.select("id", "doc"), "id", "left")
 
 
-#: Ranges that ``all_pages`` numbers side by side.
-RANGES = 64
-
-
 def all_pages(docs: DataFrame, limit: int, filters=()) -> DataFrame:
     """(page, id, doc) of the whole listing, pages counted from 0.
 
-    Ids fall into ranges between a few sampled ids (fewer than ``RANGES``), are numbered inside their range, and are moved on by the
-    sizes of the ranges before. The sample decides how even the ranges are, never a number.
+    Ids are sorted in ranges, as many as the rows need, and written to the shared folder once, numbered inside their range. The
+    ranges' sizes, one row each, are summed up and tell where each range begins. The written rows stay there, since the result
+    reads them.
     """
+    checked_limit(limit)
+    spark = docs.sparkSession
     rows = selected(docs, filters).select("id", "doc")
-    bounds = sorted(r["id"] for r in rows.select("id").orderBy(F.xxhash64("id")).limit(RANGES - 1).collect())
-    between = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("id"))) if bounds else F.lit(0)
-    ranged = rows.withColumn("range", between)
-    # One number for each range, RANGES at most.
-    sizes = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}
-    before = F.array(*[F.lit(sum(n for k, n in sizes.items() if k < i)) for i in range(len(bounds) + 1)])
-    place = F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1
-    page_number = F.floor((F.get(before, F.col("range")) + place) / checked_limit(limit)).cast("long")
-    return ranged.select(page_number.alias("page"), "id", "doc")
+    path = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    # Numbers hold the task from bit 33 on, and below that count its sorted rows.
+    rows.repartitionByRange("id").sortWithinPartitions("id").select(F.monotonically_increasing_id().alias("number"), "id", "doc").write.parquet(path)
+    ranged = spark.read.schema("number long, id string, doc string").parquet(path)
+    sizes = ranged.groupBy(F.shiftright("number", 33).alias("range")).agg(F.count(F.lit(1)).alias("n"))
+    # One row for each task that wrote.
+    begins = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("begin"))
+    placed = ranged.join(F.broadcast(begins), F.shiftright("number", 33) == F.col("range"))
+    return placed.select(F.floor((F.col("begin") + F.col("number") % F.lit(1 << 33)) / limit).cast("long").alias("page"), "id", "doc")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from pathlib import Path
+from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import listing, state
 from ..shared import shared_dir
+from ..sources import logfile
 from ..store import Store
 from . import collections as K
 
@@ -120,9 +124,27 @@ def stored_mutations(spark, sf_dir):
         return store.current(("doc",)).select("collection", "id", "doc")
 
 
+def collection_names(spark, sf_dir):
+    """Collections in the order of their names, with their place in it."""
+    counts = collection_counts(spark, sf_dir)
+    # One row for each collection: names are few beside documents.
+    return counts.select((F.row_number().over(Window.orderBy("collection")) - 1).cast("long").alias("place"), "collection", "documents")
+
+
+def log_round_trip(spark, sf_dir):
+    """Customers written as framed logs, one for each segment, with a record cut short at each log's end, and read back."""
+    folder = urlparse(shared_dir(spark))
+    logs = Path(folder.path if folder.scheme in ("", "file") else tempfile.gettempdir()) / f"logs-{uuid.uuid4().hex}"
+    segments = K.customers(spark, sf_dir).select(F.col("fields")["segment"].alias("collection"), "id", "doc")
+    for name, _ in logfile.export(segments, str(logs)):
+        with (logs / f"{name}.log").open("ab") as log:
+            log.write(logfile.Record(logfile.PUT, "torn", "{}").to_bytes()[:-1])
+    return logfile.read_logs(spark, str(logs))
+
+
 QUERIES = {
     q.__name__: q
-    for q in (list_page, list_where_number, list_where_string, list_where_and, list_where_nested, list_where_missing, list_after, page_cursor, all_pages, get_many, current_state, delete_flags, collection_counts, canonical_docs, valid_ids, valid_collections, crc_payload, stored_mutations)
+    for q in (list_page, list_where_number, list_where_string, list_where_and, list_where_nested, list_where_missing, list_after, page_cursor, all_pages, get_many, current_state, delete_flags, collection_counts, canonical_docs, valid_ids, valid_collections, crc_payload, stored_mutations, collection_names, log_round_trip)
 }
 
 _EVENTS = "SELECT CAST(event_id AS VARCHAR) AS id, CAST(json(props) AS VARCHAR) AS doc, json_extract_string(props, '$.k') AS k FROM events"
@@ -155,10 +177,18 @@ ORACLES = {
     "collection_counts": f"""WITH r AS (SELECT DISTINCT collection FROM ({_MUTATIONS}) UNION ALL SELECT 'empty'),
         n AS (SELECT collection, count(*) FILTER (op = 'put') AS documents FROM ({_LATEST}) WHERE n = 1 GROUP BY collection)
         SELECT r.collection, coalesce(n.documents, 0)::BIGINT AS documents FROM r LEFT JOIN n ON n.collection = r.collection""",
+    "collection_names": f"""WITH r AS (SELECT DISTINCT collection FROM ({_MUTATIONS}) UNION ALL SELECT 'empty'),
+        n AS (SELECT collection, count(*) FILTER (op = 'put') AS documents FROM ({_LATEST}) WHERE n = 1 GROUP BY collection)
+        SELECT row_number() OVER (ORDER BY r.collection) - 1 AS place, r.collection, coalesce(n.documents, 0)::BIGINT AS documents FROM r LEFT JOIN n ON n.collection = r.collection""",
+    "log_round_trip": f"SELECT c_mktsegment AS collection, row_number() OVER (PARTITION BY c_mktsegment ORDER BY id) - 1 AS pos, 'put' AS op, id, doc AS text FROM ({_CUSTOMERS})",
     "stored_mutations": f"""SELECT collection, id, CASE WHEN CAST(id AS BIGINT) % 14 = 0 THEN '{{"k":1.50,"again":null}}' ELSE CAST(json(doc) AS VARCHAR) END AS doc FROM
         (SELECT *, row_number() OVER (PARTITION BY collection, id ORDER BY ts DESC, event_id DESC) AS n FROM ({_MUTATIONS}) WHERE op = 'put')
         WHERE n = 1 AND (CAST(id AS BIGINT) % 7 <> 0 OR CAST(id AS BIGINT) % 14 = 0)""",
     "canonical_docs": f"SELECT id, doc FROM ({_EVENTS})",
+    "crc_payload": r"""WITH t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+            lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS step),
+        b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents)
+        SELECT doc_id, xor(list_reduce(list_concat([4294967295], bytes), lambda c, x: xor(c >> 8, step[CAST(xor(c, x) & 255 AS INTEGER) + 1])), 4294967295) AS crc FROM b, t""",
     "valid_ids": r"""SELECT source, coalesce(strlen(id) BETWEEN 1 AND 256 AND NOT regexp_matches(id, '\p{Cc}'), false) AS valid, count(*) AS ids FROM
         (SELECT 'documents' AS source, text AS id FROM documents UNION ALL SELECT 'customer', c_name FROM customer UNION ALL SELECT 'pages', url FROM pages) GROUP BY ALL""",
     "valid_collections": """SELECT DISTINCT name, regexp_full_match(name, '[A-Za-z0-9_-]{1,64}') AS valid FROM

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import socket
 import socketserver
 import threading
 
@@ -37,6 +38,8 @@ class Server(socketserver.ThreadingTCPServer):
     daemon_threads = True
 
     def __init__(self, address: tuple[str, int], store: Store, token: str | None = None):
+        # An address with colons is one of the sixth version.
+        self.address_family = socket.AF_INET6 if ":" in address[0] else socket.AF_INET
         super().__init__(address, _Handler)
         self.store, self.token = store, token
         self.turn = threading.Lock()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -29,16 +31,20 @@ class Files:
             stream.close()
 
     def write_new(self, name: str, text: str) -> None:
-        """The whole file or none: written aside and synced, then renamed. An existing name is an error."""
-        aside = self._path(name + ".tmp")
-        stream = self._fs.create(aside, True)
+        """The whole file or none: written aside and synced, then renamed. An existing name is an error, also when two write at once.
+
+        That rests on a rename that never replaces a file, as HDFS and local disks have it.
+        """
+        aside = self._path(f"{name}.{uuid.uuid4().hex}.tmp")
+        stream = self._fs.create(aside, False)
         try:
             stream.write(bytearray(text.encode()))
             stream.hsync()
         finally:
             stream.close()
-        if not self._fs.rename(aside, self._path(name)):
-            raise OSError(f"{name} is there already")
+        if self._fs.exists(self._path(name)) or not self._fs.rename(aside, self._path(name)):
+            self._fs.delete(aside, False)
+            raise FileExistsError(f"{name} is there already")
 
     def remove(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

@@ -5,11 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .functions import jsontext
 from .operators import listing, state
 from .operators.listing import InvalidRequest
 from .schema import part_of
@@ -29,7 +28,7 @@ class Store:
     """Collections under one root, written by one process at a time.
 
     Batches (``put_all``, ``delete_all``, ``get_many``) are the intended shape; the single-document methods are
-    batches of one. A batch is visible once it is committed; its data files are written by Spark, whose
+    batches of one; ``apply`` takes puts and deletes mixed. A batch is visible once it is committed; its data files are written by Spark, whose
     commits don't promise an fsync, while the commit file itself is synced.
     """
 
@@ -49,6 +48,31 @@ class Store:
 
     # Writing
 
+    def apply(self, mutations: DataFrame) -> DataFrame:
+        """Commit the mutations (collection, pos, op, id, text) as one batch; pos orders those of an id.
+
+        Each is checked by itself, so a refused put leaves the one before it standing, and a collection that a put creates
+        stays, even if a later delete empties it. Refused rows come back with what was wrong: a bad name, id or text, an op
+        other than put and delete, or a place that another mutation of the id has already (the same one twice counts once).
+        """
+        asked = mutations.select("collection", F.col("pos").cast("long").alias("pos"), "op", "id", "text").dropDuplicates()
+        place = Window.partitionBy("collection", "id", "pos").orderBy("op", "text")
+        put, delete = F.coalesce(F.col("op") == "put", F.lit(False)), F.coalesce(F.col("op") == "delete", F.lit(False))
+        read = asked.withColumn("turn", F.row_number().over(place)).withColumn("read", C.canonicalise(F.when(put, F.col("text"))))
+        error = (
+            F.when(~put & ~delete, F.lit("an op is put or delete")).when(~C.valid_collection(F.col("collection")), F.lit(C.BAD_NAME)).when(~C.valid_id(F.col("id")), F.lit(C.BAD_ID))
+            .when(F.col("pos").isNull(), F.lit("a mutation has a place")).when(F.col("turn") > 1, F.lit("another mutation of the id has this place")).when(put, F.col("read.error"))
+        )
+        checked = read.select("collection", "pos", "op", "id", "text", "read.doc", "read.fields", error.alias("error")).persist()
+        try:
+            good = checked.where("error IS NULL")
+            names = [r["collection"] for r in good.where("op = 'put'").select("collection").distinct().collect()]
+            if names or not good.isEmpty():
+                self.log.append(good, names)
+            return self._kept(checked.where("error IS NOT NULL").select("collection", "pos", "op", "id", "text", "error"), "refused")
+        finally:
+            checked.unpersist()
+
     def put_all(self, texts: DataFrame) -> DataFrame:
         """Write one document per row of ``texts`` (collection, id, text; pos orders rows of one id and may be left out if ids are unique).
 
@@ -62,8 +86,8 @@ class Store:
         checked = checked.withColumn("error", F.coalesce("named", "error")).persist()
         try:
             good = checked.where("error IS NULL")
-            if "pos" not in texts.columns and not good.groupBy("collection", "id").count().where("count > 1").isEmpty():
-                raise InvalidRequest("ids repeat, so pos must say which write is the last")
+            if not good.groupBy("collection", "id", "pos").count().where("count > 1").isEmpty():
+                raise InvalidRequest("writes of one id have the same place, so pos must say which is the last")
             names = [r["collection"] for r in good.select("collection").distinct().collect()]
             if names:
                 self.log.append(good.withColumn("op", F.lit("put")), names)
@@ -144,12 +168,5 @@ class Store:
         return listing.page_and_next(docs, filters, after, limit)
 
     def all_pages(self, collection: str, limit: int, filters: Iterable[tuple[str, str]] = ()) -> DataFrame:
-        return listing.all_pages(self.current(collection=collection), limit, list(filters))
-
+        return listing.all_pages(self.current(("doc", "fields") if filters else ("doc",), collection), limit, list(filters))
 
-def document(text: str) -> str:
-    """The canonical text of one document, checked."""
-    value = jsontext.parse(text)
-    if not isinstance(value, jsontext.Members):
-        raise jsontext.JsonTextError("a document is a JSON object")
-    return jsontext.write(value)

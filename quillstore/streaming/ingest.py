@@ -10,28 +10,31 @@ from ..store import Store
 
 #: What an ingest stream reads: pos orders the mutations of one id inside a micro-batch.
 MUTATIONS = "collection string, pos bigint, op string, id string, text string"
+REFUSED = f"{MUTATIONS}, error string, epoch bigint"
 
 
-def ingest(stream: DataFrame, store: Store) -> DataStreamWriter:
-    """Appends each micro-batch to the store. Within one, the last mutation of an id counts, so a batch is one put batch and one delete batch.
+def ingest(stream: DataFrame, store: Store, name: str = "ingest") -> DataStreamWriter:
+    """Applies each micro-batch to the store as one batch (``Store.apply``); what is refused is kept (``refused``), and never stops the stream.
 
-    A batch that is run again after a failure writes the same documents again, which changes nothing: the fold keeps the last.
+    A micro-batch that is run again after a failure applies the same mutations again, which changes nothing: the fold
+    keeps the last of each id. Its refusals replace those of the first run. ``name`` tells the streams of a store apart.
     """
 
-    def apply(batch: DataFrame, _: int) -> None:
-        last = batch.groupBy("collection", "id").agg(F.max_by(F.struct("op", "text"), "pos").alias("last")).select("collection", "id", "last.*").persist()
-        try:
-            puts, deletes = last.where("op = 'put'"), last.where("op = 'delete'")
-            if not puts.isEmpty():
-                store.put_all(puts.select("collection", F.lit(0).cast("long").alias("pos"), "id", "text"))
-            if not deletes.isEmpty():
-                store.delete_all(deletes.select("collection", "id"))
-        finally:
-            last.unpersist()
+    def apply(batch: DataFrame, epoch: int) -> None:
+        bad = store.apply(batch)
+        bad.write.mode("overwrite").parquet(f"{store.log.root}/refused/{name}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(apply)
 
 
+def refused(store: Store, name: str = "ingest") -> DataFrame:
+    """What a stream's micro-batches refused so far: their rows, what was wrong, and the number of the micro-batch."""
+    folder = f"{store.log.root}/refused/{name}"
+    if not store.log.files.names(f"refused/{name}"):
+        return store.spark.createDataFrame([], REFUSED)
+    return store.spark.read.schema(REFUSED).parquet(folder)
+
+
 def running_state(stream: DataFrame) -> DataFrame:
     """The last mutation of each id so far, for update or complete mode. State is one row for every id ever seen, tombstones included."""
     return stream.groupBy("collection", "id").agg(F.max_by(F.struct("op", "text"), "pos").alias("last")).select("collection", "id", "last.*")

@@ -53,3 +53,42 @@ def test_import_and_export(spark, tmp_path):
         store.delete("c", "a")
         L.export(store.current(("doc",)), str(tmp_path / "out"))
     assert L.decode((tmp_path / "out" / "c.log").read_bytes())[0] == [L.Record(L.PUT, "b", '{"v":2}'), L.Record(L.PUT, "d", "{}")]
+
+
+def test_records_are_found_anywhere(monkeypatch):
+    import random
+
+    r = random.Random(2)
+    whole = L.Record(L.PUT, "key", '{"v":1}').to_bytes()
+    monkeypatch.setattr(L, "_STRIDE", 64)
+    for _ in range(60):
+        noise = [bytes(r.choice((0, 1, 2, 7, 255)) for _ in range(r.randrange(200))) for _ in range(2)]
+        assert L._whole_record_in(memoryview(noise[0] + whole + noise[1]))
+        broken = bytearray(whole)
+        broken[r.randrange(4, len(whole))] ^= 64
+        assert not L._whole_record_in(memoryview(noise[0] + bytes(broken)))
+    assert not L._whole_record_in(memoryview(whole[:-1])) and not L._whole_record_in(memoryview(b""))
+
+
+def test_a_long_damaged_tail_is_looked_through_quickly():
+    import time
+
+    data = bytearray(b"\xff\xff\xff\x00" + bytes(range(256)) * 30_000 + WHOLE)
+    began = time.time()
+    with pytest.raises(L.DamagedLog):
+        L.decode(bytes(data))
+    assert time.time() - began < 5
+
+
+def test_an_empty_log(spark, tmp_path):
+    (tmp_path / "c.log").write_bytes(b"")
+    assert L.read_logs(spark, str(tmp_path)).count() == 0
+    assert [tuple(x) for x in L.report(spark, str(tmp_path)).collect()] == [("c", 0, 0, None, None)]
+
+
+def test_export_counts_what_it_writes(spark, tmp_path):
+    rows = [(c, f"{i:03d}", "{}") for c in ("a", "b", "long-name") for i in range(50)]
+    counts = L.export(spark.createDataFrame(rows[::-1], "collection string, id string, doc string"), str(tmp_path / "out"))
+    assert counts == [("a", 50), ("b", 50), ("long-name", 50)]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.log", "b.log", "long-name.log"]
+    assert [r.id for r in L.decode((tmp_path / "out" / "b.log").read_bytes())[0]] == [f"{i:03d}" for i in range(50)]

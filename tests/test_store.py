@@ -101,3 +101,83 @@ def test_ids_sort_by_bytes_and_reach_the_scan(spark, store):
 
     plan = listing.page(store.current(("doc",), "c"), after="a", limit=5)._jdf.queryExecution().toString()
     assert "GreaterThan(id,a)" in plan and "TakeOrderedAndProject" in plan
+
+
+def test_two_writers_without_a_lock(spark, tmp_path, monkeypatch):
+    """As on shared storage: the one that commits second fails, and neither its rows nor its files stay."""
+    monkeypatch.setattr("quillstore.sources.mutation_log.MutationLog._locked", lambda self: None)
+    root = str(tmp_path / "store")
+    with Store(spark, root) as first, Store(spark, root) as second:
+        first.put("c", "a", '{"by":1}')
+        with pytest.raises(StoreInUse):
+            second.put("c", "a", '{"by":2}')
+        assert len(first.log.files.names("log/batch=0")) == 1
+        assert first.get("c", "a") == '{"by":1}'
+        # The loser has read the log anew.
+        assert second.get("c", "a") == '{"by":1}'
+        second.put("c", "b", "{}")
+        with pytest.raises(StoreInUse):
+            first.compact()
+        assert [i for i, _ in first.list("c")[0]] == ["a", "b"]
+        first.compact()
+        with pytest.raises(StoreInUse):
+            second.delete("c", "a")
+        assert second.get("c", "a") == '{"by":1}'
+    with Store(spark, root) as s:
+        assert [i for i, _ in s.list("c")[0]] == ["a", "b"] and not [n for n in s.log.files.names("commits") if n.endswith(".tmp")]
+
+
+def test_what_was_read_before_a_snapshot_still_works(spark, store):
+    store.put("c", "a", '{"v":1}')
+    store.put("c", "b", "{}")
+    before = store.current(("doc",))
+    store.compact()
+    assert before.count() == 2 and len(store.log.files.names("log")) == 3
+    store.put("c", "d", "{}")
+    later = store.current(("doc",))
+    store.compact()
+    assert later.count() == 3 and store.collections() == [("c", 3)]
+    assert len(store.log.files.names("log")) == 3
+
+
+def test_writes_of_one_place_are_refused(spark, store):
+    with pytest.raises(InvalidRequest):
+        store.put_all(spark.createDataFrame([("c", 1, "i", '{"v":1}'), ("c", 1, "i", '{"v":2}')], TEXTS))
+    assert store.collections() == []
+
+
+def test_mixed_mutations_against_a_model(spark, store):
+    r = random.Random(4)
+    texts = ['{"v":1}', '{ "v" : 2 }', "[1]", "{", None, '{"w":{"x":"y"}}']
+    model, names = {}, set()
+    for step in range(3):
+        rows = [(r.choice(["p", "q", "bad name", None]), n, r.choice(["put", "put", "delete", "other", None]), r.choice(["a", "b", "c", "", "d\n"]), r.choice(texts)) for n in range(40)]
+        rows.append(rows[3])
+        refused = 0
+        for c, n, op, i, t in rows[:40]:
+            ok = c in ("p", "q") and i in ("a", "b", "c") and (op == "delete" or op == "put" and t in (texts[0], texts[1], texts[5]))
+            refused += not ok
+            if ok and op == "put":
+                model[c, i] = t.replace(" ", "")
+                names.add(c)
+            elif ok:
+                model.pop((c, i), None)
+        bad = store.apply(spark.createDataFrame(rows, "collection string, pos long, op string, id string, text string"))
+        assert bad.count() == refused and bad.where("error IS NULL").isEmpty()
+    assert {(x["collection"], x["id"]): x["doc"] for x in store.current(("doc",)).collect()} == model
+    assert store.collections() == sorted((c, sum(k[0] == c for k in model)) for c in names)
+    bad = store.apply(spark.createDataFrame([("p", 7, "put", "a", "{}"), ("p", 7, "put", "a", '{"v":1}'), ("p", None, "put", "a", "{}")], "collection string, pos long, op string, id string, text string")).collect()
+    assert len(bad) == 2
+
+
+def test_all_pages_of_many_ranges(spark):
+    from quillstore.operators import listing
+
+    r = random.Random(6)
+    ids = sorted({f"{r.choice('abc')}{r.randrange(10**6)}" for _ in range(4000)})
+    rows = [(i, "{}") for i in ids]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "id string, doc string").repartition(7)
+    got = {x["id"]: x["page"] for x in listing.all_pages(docs, 33).collect()}
+    assert got == {x: n // 33 for n, x in enumerate(ids)}
+    assert listing.all_pages(docs.limit(0), 5).count() == 0
