@@ -26,9 +26,10 @@ def components(edges: DataFrame) -> DataFrame:
             # The roots that have a root themselves, each once: a hub's many nodes then meet one row, broadcast if all are few.
             above = parents.select(F.col("node").alias("root"), F.col("root").alias("above"))
             moves = common.written(parents.select("root").distinct().join(above, "root"), "moves")
-            if moves.isEmpty():
+            n = moves.count()
+            if not n:
                 break
-            parents = common.written(parents.join(common.sized(moves), "root", "left").select("node", F.coalesce("above", "root").alias("root")), "parents")
+            parents = common.written(parents.join(F.broadcast(moves) if n <= common.BROADCAST_ROWS else moves, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "parents")
         known = common.sized(parents)
         for side in ("lo", "hi"):
             left = left.join(known.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left").withColumn(side, F.coalesce(f"{side}_root", side)).drop(f"{side}_root")

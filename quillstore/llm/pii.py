@@ -187,21 +187,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of op10's result, what SQL can say too."""
-    return op10_pii(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in KINDS])
-
-
-COUNTS_ORACLE = r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-m AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS email,
-  regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS ip,
-  list_transform(regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+'), lambda v: reverse(regexp_replace(v, '[\x20-]', '', 'g'))) AS card,
-  list_transform(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), lambda v: regexp_replace(v, '[^0-9]', '', 'g')) AS phone FROM t)
-SELECT doc_id, len(email)::BIGINT AS n_email,
-  len(list_filter(ip, lambda v: list_max(list_transform(string_split(v, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE CAST(x AS INTEGER) END)) <= 255))::BIGINT AS n_ip,
-  len(list_filter(card, lambda v: length(v) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(v) + 1), lambda i:
-    CASE WHEN i % 2 = 1 THEN CAST(v[i] AS INTEGER) WHEN v[i] > '4' THEN 2 * CAST(v[i] AS INTEGER) - 9 ELSE 2 * CAST(v[i] AS INTEGER) END)) % 10 = 0))::BIGINT AS n_card,
-  len(list_filter(phone, lambda v: length(v) BETWEEN 9 AND 15))::BIGINT AS n_phone
-FROM m
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op10's result, what SQL can say too: all but the spans that the method adds."""
+    return op10_pii(spark, sf_dir).drop("spans")
+
+
+BASE_ORACLE = r"""
+WITH k(kind, no, p) AS (VALUES ('email', 0, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), ('ip', 1, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'),
+  ('card', 2, '[0-9](?:[\x20-]?[0-9])+'), ('phone', 3, '\+[0-9][\x20().0-9-]+[0-9]')),
+t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, kind, no, regexp_extract_all(text, p) AS m, string_split_regex(text, p) AS g FROM t, k),
+i AS (SELECT doc_id, kind, no, m, g, unnest(range(1, len(m) + 1)) AS i FROM m),
+s AS (SELECT doc_id, kind, no, m[i] AS v, (list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM i),
+d AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM s),
+b AS (SELECT * FROM d WHERE CASE kind WHEN 'email' THEN true
+  WHEN 'ip' THEN list_max(list_transform(string_split(v, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE CAST(x AS INTEGER) END)) <= 255
+  WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+  ELSE length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j:
+    CASE WHEN j % 2 = 1 THEN CAST(reverse(digits)[j] AS INTEGER) WHEN reverse(digits)[j] > '4' THEN 2 * CAST(reverse(digits)[j] AS INTEGER) - 9 ELSE 2 * CAST(reverse(digits)[j] AS INTEGER) END)) % 10 = 0 END)
+SELECT t.doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || (start + length(v)), ',' ORDER BY start, no), '')) AS base_sha256
+FROM t LEFT JOIN b ON b.doc_id = t.doc_id GROUP BY t.doc_id
 """

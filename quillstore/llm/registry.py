@@ -16,9 +16,9 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_pii": pii.op10_pii,
     # What SQL can say of results that it can't give whole.
-    "secret_counts": secrets.secret_counts,
+    "base_secrets": secrets.base_secrets,
     "packed_documents": packing.packed_documents,
-    "personal_data_counts": pii.personal_data_counts,
+    "base_personal_data": pii.base_personal_data,
 }
 ORACLES = {
     "op3_substring_dedup": substring_dedup.ORACLE,
@@ -26,7 +26,7 @@ ORACLES = {
     "op9_jaccard_join": jaccard_join.ORACLE,
     "op7_decontaminate": decontaminate.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
-    "secret_counts": secrets.COUNTS_ORACLE,
+    "base_secrets": secrets.BASE_ORACLE,
     "packed_documents": packing.WHOLE_ORACLE,
-    "personal_data_counts": pii.COUNTS_ORACLE,
+    "base_personal_data": pii.BASE_ORACLE,
 }

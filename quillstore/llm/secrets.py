@@ -376,16 +376,22 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
 
 
-def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of op2's result, what SQL can say too."""
-    return op2_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
-
-
-COUNTS_ORACLE = r"""
-WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)
-SELECT doc_id,
-  len(list_filter(regexp_extract_all(text, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda v: length(v) >= 8))::BIGINT AS n_assign,
-  len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 16))::BIGINT AS n_access,
-  len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda v: length(v) >= 32))::BIGINT AS n_hex
-FROM t
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op2's result, what SQL can say too: all but the spans that the method adds."""
+    return op2_secret_scan(spark, sf_dir).drop("spans")
+
+
+BASE_ORACLE = r"""
+WITH k(kind, no, p) AS (VALUES
+  ('assign', 0, '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+  ('access', 1, 'AKIA[A-Z0-9]+'), ('hex', 2, '[0-9a-f]+')),
+t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, kind, no, regexp_extract_all(text, p) AS m, string_split_regex(text, p) AS g FROM t, k),
+i AS (SELECT doc_id, kind, no, m, g, unnest(range(1, len(m) + 1)) AS i FROM m),
+s AS (SELECT doc_id, kind, no, m[i] AS v, (list_sum(list_transform(g[:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM i),
+b AS (SELECT * FROM s WHERE CASE kind WHEN 'hex' THEN length(v) >= 32 WHEN 'access' THEN length(v) >= 16
+  ELSE length(regexp_extract(v, '^[A-Za-z_]+["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 8 END)
+SELECT t.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || (start + length(v)), ',' ORDER BY start, no), '')) AS base_sha256
+FROM t LEFT JOIN b ON b.doc_id = t.doc_id GROUP BY t.doc_id
 """
