@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,10 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parent
-    archive = os.path.join(tempfile.mkdtemp(), "quillstore.zip")
+    # Workers fetch it while the application runs.
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "quillstore.zip")
     with zipfile.ZipFile(archive, "w") as z:
         for path in sorted(package.rglob("*.py")):
             z.write(path, str(path.relative_to(package.parent)))
