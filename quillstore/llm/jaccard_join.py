@@ -51,6 +51,8 @@ from . import common, graph, packed, textkit
 
 #: Some two million entries at the smallest chunks: each word begins a shingle.
 CHUNKS_TO_BUCKET = 3
+#: Entries of lists are fewer: of sets that may link at all, half a key for each shingle. In fewer buckets the same pairs meet less often.
+LISTS_TO_BUCKET = 4
 #: Of a task of the search: shingles at most (one longer set is a block), and sets of one cluster. Where blocks are held against one
 #: another, fewer larger ones copy fewer sets.
 CLUSTER_ELEMENTS = 2_000_000
@@ -291,7 +293,7 @@ def _entries(table: pa.Table, replies: pa.Table, rule: Rule, buckets: int) -> pa
         found, stand = _stars([keys], docs[chosen[heavy[of]]])
         found = _once(*found)
         rows.append((-1, LISTS, found[0].tobytes(), found[1].tobytes()))
-        dealt = packed.dealt(0, keys[stand], [keys[stand], docs[chosen[heavy[of[stand]]]].view(np.uint64)], buckets, (6, 8))
+        dealt = packed.dealt(0, keys[stand], [keys[stand], docs[chosen[heavy[of[stand]]]].view(np.uint64)], max(1, buckets // LISTS_TO_BUCKET), (6, 8))
         rows += [(r["bucket"], LISTS, r["c0"], r["c1"]) for r in dealt.to_pylist()]
         for k, i in enumerate(chosen[heavy].tolist()):
             rows.append((-1, SETS, own[cuts[k] : cuts[k + 1]].tobytes(), None, None, None, None, int(docs[i]), int(sizes[i])))
@@ -510,11 +512,8 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     # Rows that share a doc_id may each have a set; they are one node.
     sets = entries.where(f"kind = {SETS}").select("doc_id", "n", F.col("c0").alias("own"))
     clusters = graph.components(links.where(f"kind = {LISTS}").select("a", "b"))
-    listed = links.where(f"kind = {LISTS}").select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    member = common.written(
-        listed.join(clusters.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("cluster"))
-        .join(sets.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id"), "members",
-    )
+    listed = clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("doc_id"), F.col("root").alias("cluster")).distinct())
+    member = common.written(listed.join(sets.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id"), "members")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / CLUSTER_ELEMENTS)).cast("int")
     large = common.written(member.groupBy("cluster").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
     bins = max(common.shuffle_partitions(docs.sparkSession), -(-(member.agg(F.sum("n")).first()[0] or 0) // CLUSTER_ELEMENTS))
