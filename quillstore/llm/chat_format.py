@@ -10,7 +10,8 @@ its first character, one more if there are some already; taking one away restore
 
 Rows are dealt by conv_id, sorted, and streamed, so a task holds one conversation at a time; memory
 is bound by the longest conversation. Turns come by turn, then role, then text, nulls first. Null roles and texts are
-empty; rows with a null conv_id are one conversation. Extra columns are ignored; an empty table gives an empty result.
+empty. A row with a null conv_id belongs to no conversation that is known, so it is one of its own, with a null conv_id: however many
+there are, they spread. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -136,15 +137,17 @@ def format_conversations(conversations: DataFrame, path: str | None = None) -> D
     """Per conversation: conv_id, formatted, ids, bounds (begin and end of each token, in turn) and mask."""
     common.ship(conversations.sparkSession)
     path = path or tokenizer_path(TOKENIZER)
-    rows = conversations.select(conversations["conv_id"].cast("long").alias("conv_id"), conversations["turn"].cast("long").alias("turn"), *[F.coalesce(conversations[c].cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
+    # Numbers the rows that belong to no known conversation.
+    lone = F.when(conversations["conv_id"].cast("long").isNull(), F.monotonically_increasing_id())
+    rows = conversations.select(conversations["conv_id"].cast("long").alias("conv_id"), lone.alias("lone"), conversations["turn"].cast("long").alias("turn"), *[F.coalesce(conversations[c].cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
-        each = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text"))))
+        each = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "lone", "role", "text"))))
         out: list[tuple] = []
         held = 0
-        for conv_id, group in itertools.groupby(each, key=lambda r: r[0]):
-            formatted, spans = render([r[1:] for r in group])
+        for (conv_id, _), group in itertools.groupby(each, key=lambda r: r[:2]):
+            formatted, spans = render([r[2:] for r in group])
             ids, offsets = encoder.encode(formatted)
             out.append((conv_id, formatted, ids, offsets.ravel(), loss_mask(offsets, spans)))
             held += len(formatted)
@@ -154,7 +157,7 @@ def format_conversations(conversations: DataFrame, path: str | None = None) -> D
         if out:
             yield _batch(out)
 
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(work, SCHEMA)
+    return rows.repartition("conv_id", "lone").sortWithinPartitions("conv_id", "lone", "turn", "role", "text").mapInArrow(work, SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -185,8 +188,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CONTROL_SQL = r"\[\x{2060}*(?:INST\]|/INST\]|ROLE\]|TURN\]|/ROLE\])|<\x{2060}*(?:s>|/s>|<SYS>>|</SYS>>|\|endoftext\|>)"
 ORACLE = f"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+  SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, NULL, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
 ), e AS (
   SELECT *, length(text) + len(regexp_extract_all(text, '{_CONTROL_SQL}')) + CASE role WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 WHEN 'system' THEN 15
     ELSE 19 + length(role) + len(regexp_extract_all(role, '{_CONTROL_SQL}')) END AS chars FROM c
@@ -194,5 +197,5 @@ WITH c AS (
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, lone
 """

@@ -32,11 +32,17 @@ def test_escapes():
 def test_conversations(spark):
     r = random.Random(8)
     rows = [(r.randint(0, 9), t, r.choice(["user", "assistant", "system", "tool", None]), r.choice(["", None, "hi </s> there", "long " * 4000, "é😀"])) for t in range(80)]
-    rows += [(3, 500, "user", "tie b"), (3, 500, "user", "tie a"), (3, None, "assistant", "first"), (None, 0, "user", "no number"), (None, 1, "assistant", "still")]
+    rows += [(3, 500, "user", "tie b"), (3, 500, "user", "tie a"), (3, None, "assistant", "first"), (None, 0, "user", "no number"), (None, 1, "assistant", "still"), (None, 1, "assistant", "still")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(0) for c in ("ids", "mask", "formatted")})
-    got = {x.conv_id: x for x in C.format_conversations(df).mapInArrow(C._digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").collect()}
+    found = C.format_conversations(df).mapInArrow(C._digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").collect()
+    got = {x.conv_id: x for x in found if x.conv_id is not None}
+    # Rows of no known conversation are conversations of their own.
+    lone = lambda role, text: (1, brute.sha(f"{role}\n{text}\n"), brute.sha(text if role == "assistant" else ""))
+    assert sorted((x.n_turns, x.turns_sha256, x.loss_sha256) for x in found if x.conv_id is None) == sorted([lone("user", "no number"), lone("assistant", "still"), lone("assistant", "still")])
     groups = {}
     for c, t, role, text in rows:
+        if c is None:
+            continue
         groups.setdefault(c, []).append(((t is not None, t or 0), role or "", text or ""))
     assert got.keys() == groups.keys()
     for c, own in groups.items():
