@@ -491,10 +491,14 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     by_chunk, buckets = packed.layout(docs, CHUNKS_TO_BUCKET)
 
     def send(table: pa.Table) -> pa.Table:
-        return _sent(table, rule, buckets)
+        out = _sent(table, rule, buckets)
+        textkit.give_back()
+        return out
 
     def enter(table: pa.Table, replies: pa.Table) -> pa.Table:
-        return _entries(table, replies, rule, buckets)
+        out = _entries(table, replies, rule, buckets)
+        textkit.give_back()
+        return out
 
     def meet(table: pa.Table) -> pa.Table:
         return _met(table, rule)

@@ -185,6 +185,8 @@ def pack(docs: DataFrame, tiers: tuple[int, ...] = TIERS, group: int = GROUP, te
                     held = 0
         packer.finish()
         yield from numbered.batch(packer.groups(group, last=True))
+        del packer
+        textkit.give_back()
 
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(work, SCHEMA)
 

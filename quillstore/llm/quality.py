@@ -212,6 +212,7 @@ def score(docs: DataFrame, model: FactorisationMachine, name: str = "score") ->
             for a, b, data, offsets in textkit.blocks(batch.column(text)):
                 found[a:b] = shared.value.score(*features(data, offsets, n_chars[a:b]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:chars], pa.array(found)], [f"c{i}" for i in range(chars + 1)])
+        textkit.give_back()
 
     plain = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], _metadata(docs).alias(f"c{chars}"))
     schema = T.StructType([T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)] + [T.StructField(f"c{chars}", T.DoubleType())])

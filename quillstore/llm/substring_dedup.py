@@ -221,13 +221,18 @@ def remove_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     by_chunk, buckets = packed.layout(docs, CHUNKS_TO_BUCKET)
 
     def send(table: pa.Table) -> pa.Table:
-        return _sent(table, buckets)
+        out = _sent(table, buckets)
+        textkit.give_back()
+        return out
 
     def near(table: pa.Table, anchors: pa.Table) -> pa.Table:
-        return _windows_near(table, anchors, buckets)
+        out = _windows_near(table, anchors, buckets)
+        textkit.give_back()
+        return out
 
     def cut(table: pa.Table, earlier: pa.Table) -> pa.Table:
         out = _cut(table, earlier)
+        textkit.give_back()
         return _digested(out) if digest else out.rename_columns(["doc_id", "n_words", "n_removed", "kept_text"]).set_column(3, "kept_text", out.column("kept").cast(pa.string()))
 
     anchors = by_chunk.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, c0 binary").groupBy("bucket").applyInArrow(_meet, "chunk int, c0 binary")

@@ -7,6 +7,7 @@ then finalised; equal words have equal hashes in every task, process and run.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,3 +129,16 @@ def blocks(column: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Itera
         end = min(n, max(at + 1, end))
         yield at, end, data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
         at = end
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another allocator
+    _trim = None
+
+
+def give_back() -> None:
+    """Return what Arrow and numpy have freed to the system: workers live on, and other operators' workers beside them."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)

@@ -235,6 +235,7 @@ def count_tokens(docs: DataFrame, limit: int = 2048, path: str | None = None) ->
                 tokens[a:b] = count_words(segments_of(data, offsets), table.value, encoder)
             sizes = np.diff(textkit.buffers(text)[1])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(tokens), pa.array(tokens > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        textkit.give_back()
 
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
