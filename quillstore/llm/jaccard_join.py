@@ -57,7 +57,7 @@ LISTS_TO_BUCKET = 4
 #: another, fewer larger ones copy fewer sets.
 CLUSTER_ELEMENTS = 2_000_000
 BLOCK_SETS = 128
-SEEK_SETS = 1024
+SEEK_SETS = 256
 #: Sets of a large cluster that every block is held against, about.
 HUBS = 32
 #: Copies of each set, on average, from which on a large cluster's lists are looked at: they cost a few copies themselves.
