@@ -454,6 +454,7 @@ def _unsettled_links(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
         return None
     copies = F.col("m") * F.col("nu") + F.col("u") * F.col("nm")
     rows = known.join(common.sized(top), "cluster").select("doc_id", "cluster", "root", (F.col("root") != F.col("top")).alias("unsettled"), "nm", "nu", (copies > BLOCK_COPIES * F.col("m")).alias("many"))
+    rows = common.written(rows, "unsettled-sets")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -461,7 +462,7 @@ def _unsettled_links(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
             keys, of = rule.lists(batch.column("n").to_numpy(), np.frombuffer(b"".join(batch.column("own").to_pylist()), np.uint64), bounds)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(of)) for c in ("doc_id", "cluster", "root", "unsettled", "n"))], ["name", "doc_id", "cluster", "root", "unsettled", "n"])
 
-    entries = rows.where("many").join(sets, "doc_id").select("doc_id", "cluster", "root", "unsettled", "n", "own").mapInArrow(keyed, "name long, doc_id long, cluster long, root long, unsettled boolean, n long")
+    entries = sets.join(common.sized(rows.where("many").drop("nm", "nu", "many")), "doc_id").select("doc_id", "cluster", "root", "unsettled", "n", "own").mapInArrow(keyed, "name long, doc_id long, cluster long, root long, unsettled boolean, n long")
     lists = entries.groupBy("cluster", "name").agg(
         F.count(F.lit(1)).alias("m"), F.count_if("unsettled").alias("u"), F.sum("n").alias("m_elements"), F.sum(F.when(F.col("unsettled"), F.col("n")).otherwise(0)).alias("u_elements"),
         F.min("root").alias("lo"), F.max("root").alias("hi"),
@@ -481,7 +482,8 @@ def _unsettled_links(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
     def seek(table: pa.Table) -> pa.Table:
         return _sought(table, rule)
 
-    return still.unionByName(ask).join(sets, "doc_id").groupBy("by_list", "name", "block", "turn").applyInArrow(seek, _EDGES)
+    tasks = common.written(still.unionByName(ask), "tasks")
+    return sets.join(common.sized(tasks), "doc_id").groupBy("by_list", "name", "block", "turn").applyInArrow(seek, _EDGES)
 
 
 def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -526,7 +528,8 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     hub = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.ceil(F.col("blocks") * BLOCK_SETS / HUBS)) == 0
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     dealt = placed.where("blocks > 1").select("doc_id", F.col("cluster").alias("whole"), F.explode(F.when(hub, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(mine))).alias("block"))
-    verified = small.unionByName(dealt).join(sets, "doc_id").groupBy("whole", "block").applyInArrow(search, _EDGES)
+    tasks = common.written(small.unionByName(dealt), "tasks")
+    verified = sets.join(common.sized(tasks), "doc_id").groupBy("whole", "block").applyInArrow(search, _EDGES)
     found = common.written(links.where(f"kind = {LINKS}").select("a", "b").unionByName(verified.select("a", "b")), "found")
     roots = graph.components(found)
     if not large.isEmpty():
