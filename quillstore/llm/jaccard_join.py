@@ -380,7 +380,9 @@ class Sets:
         hit = np.zeros(len(self.docs), bool)
         hit[found] = True
         hit[:lo] = hit[hi:] = False
-        return np.flatnonzero(hit & open_)
+        found = np.flatnonzero(hit & open_)
+        # Shingles that no other set has are in no overlap.
+        return found[self.rule.linked(np.minimum(self.held[k], self.held[found]), n, self.sizes[found])]
 
     def linked(self, k: int, near: np.ndarray) -> np.ndarray:
         """Which of ``near`` link with set k, by their whole overlaps."""
@@ -441,19 +443,20 @@ def _sought(table: pa.Table, rule: Rule) -> pa.Table:
 def _unsettled_links(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
     """Links between the classes of large clusters: each set outside the largest class against the rest of its cluster.
 
-    ``known`` is (doc_id, cluster, root, n) of all their sets.
+    ``known`` is (doc_id, cluster, root, n, least, held) of all their sets: how many shingles, and how many that others have. A
+    set that others have too little of for a link with the cluster's smallest set links with none.
     """
+    sizes = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("sets"), F.min("least").alias("smallest"))
+    top = common.written(sizes.groupBy("cluster").agg(F.max_by("root", F.struct("sets", "root")).alias("top"), F.min("smallest").alias("smallest")), "tops")
+    hopeful = F.col("held") * (100 + rule.percent) >= (F.col("least") + F.col("smallest")) * rule.percent
+    flagged = common.written(known.join(common.sized(top), "cluster").select("doc_id", "cluster", "root", "n", ((F.col("root") != F.col("top")) & hopeful).alias("unsettled")), "flagged")
     blocks = [F.ceil(F.greatest(F.col(c) / SEEK_SETS, F.col(f"{c}_elements") / CLUSTER_ELEMENTS)).cast("int").alias(f"n{c}") for c in "mu"]
-    sizes = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("elements")).withColumn("size", F.struct("sets", "root"))
-    top = sizes.groupBy("cluster").agg(
-        F.max_by("root", "size").alias("top"), F.sum("sets").alias("m"), (F.sum("sets") - F.max_by("sets", "size")).alias("u"),
-        F.sum("elements").alias("m_elements"), (F.sum("elements") - F.max_by("elements", "size")).alias("u_elements"),
-    )
-    top = common.written(top.where("u > 0").select("cluster", "top", "m", "u", *blocks), "unsettled")
+    counts = [F.count(F.lit(1)).alias("m"), F.count_if("unsettled").alias("u"), F.sum("n").alias("m_elements"), F.sum(F.when(F.col("unsettled"), F.col("n")).otherwise(0)).alias("u_elements")]
+    top = common.written(flagged.groupBy("cluster").agg(*counts).where("u > 0").select("cluster", "m", "u", *blocks), "unsettled")
     if top.isEmpty():
         return None
     copies = F.col("m") * F.col("nu") + F.col("u") * F.col("nm")
-    rows = known.join(common.sized(top), "cluster").select("doc_id", "cluster", "root", (F.col("root") != F.col("top")).alias("unsettled"), "nm", "nu", (copies > BLOCK_COPIES * F.col("m")).alias("many"))
+    rows = flagged.join(common.sized(top), "cluster").select("doc_id", "cluster", "root", "unsettled", "nm", "nu", (copies > BLOCK_COPIES * F.col("m")).alias("many"))
     rows = common.written(rows, "unsettled-sets")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,10 +466,7 @@ def _unsettled_links(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(of)) for c in ("doc_id", "cluster", "root", "unsettled", "n"))], ["name", "doc_id", "cluster", "root", "unsettled", "n"])
 
     entries = sets.join(common.sized(rows.where("many").drop("nm", "nu", "many")), "doc_id").select("doc_id", "cluster", "root", "unsettled", "n", "own").mapInArrow(keyed, "name long, doc_id long, cluster long, root long, unsettled boolean, n long")
-    lists = entries.groupBy("cluster", "name").agg(
-        F.count(F.lit(1)).alias("m"), F.count_if("unsettled").alias("u"), F.sum("n").alias("m_elements"), F.sum(F.when(F.col("unsettled"), F.col("n")).otherwise(0)).alias("u_elements"),
-        F.min("root").alias("lo"), F.max("root").alias("hi"),
-    ).where("u > 0 AND lo <> hi").select("cluster", "name", "m", "u", *blocks)
+    lists = entries.groupBy("cluster", "name").agg(*counts, F.min("root").alias("lo"), F.max("root").alias("hi")).where("u > 0 AND lo <> hi").select("cluster", "name", "m", "u", *blocks)
     lists = common.written(lists.withColumn("copies", copies), "lists")
     # The cheaper way for each cluster: its lists one by one, or all its blocks. Those without lists left have nothing to compare.
     cost = lists.groupBy("cluster").agg(F.sum("copies").alias("by_lists"))
@@ -519,7 +519,7 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     sets = entries.where(f"kind = {SETS}").select("doc_id", "n", F.col("c0").alias("own"))
     clusters = graph.components(links.where(f"kind = {LISTS}").select("a", "b"))
     listed = clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("doc_id"), F.col("root").alias("cluster")).distinct())
-    member = common.written(listed.join(sets.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id"), "members")
+    member = common.written(listed.join(sets.groupBy("doc_id").agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.max(F.expr("octet_length(own) DIV 8")).alias("held")), "doc_id"), "members")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / CLUSTER_ELEMENTS)).cast("int")
     large = common.written(member.groupBy("cluster").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
     bins = max(common.shuffle_partitions(docs.sparkSession), -(-(member.agg(F.sum("n")).first()[0] or 0) // CLUSTER_ELEMENTS))
@@ -533,7 +533,7 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     found = common.written(links.where(f"kind = {LINKS}").select("a", "b").unionByName(verified.select("a", "b")), "found")
     roots = graph.components(found)
     if not large.isEmpty():
-        known = member.join(common.sized(large), "cluster").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "cluster", F.coalesce("root", "doc_id").alias("root"), "n")
+        known = member.join(common.sized(large), "cluster").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "cluster", F.coalesce("root", "doc_id").alias("root"), "n", "least", "held")
         more = _unsettled_links(common.written(known, "known"), sets, rule)
         if more is not None:
             roots = graph.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))

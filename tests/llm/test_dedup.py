@@ -121,7 +121,7 @@ def test_either_way_of_settling_finds_every_link(spark, monkeypatch):
         for i, x in enumerate(own):
             x[:3] = [r.getrandbits(64) for _ in range(3)]
         sets = spark.createDataFrame([(i, len(x), bytearray(x.tobytes())) for i, x in enumerate(own)], "doc_id long, n long, own binary")
-        known = spark.createDataFrame([(i, 7, i, 150) for i in range(count)], "doc_id long, cluster long, root long, n long")
+        known = spark.createDataFrame([(i, 7, i, 150, 150, 150) for i in range(count)], "doc_id long, cluster long, root long, n long, least long, held long")
         found = jaccard_join._unsettled_links(known, sets, rule)
         got = {tuple(sorted((x.a, x.b))) for x in found.collect()}
         held = [set(x.tolist()) for x in own]
