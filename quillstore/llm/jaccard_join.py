@@ -17,7 +17,8 @@
    reached; overlaps are counted on whole 64-bit shingles, each pair once. Small clusters share
    tasks. Larger ones (``BLOCK_SETS``, ``CLUSTER_ELEMENTS``) are dealt into blocks, each searched
    together with a few hubs of its cluster. Sets of one class need no more comparing, so only
-   those outside their cluster's largest class are then held against the rest: list by list, or block by block, whichever copies fewer sets.
+   those outside their cluster's largest class are then held against the rest, unless other sets hold too few of their shingles for a
+   link with any: list by list, or block by block, whichever copies fewer sets.
 4. Components over all links give each document the smallest doc_id it reaches.
 
 No link between different texts is lost: each filter follows from the threshold alone. So unrelated texts over
