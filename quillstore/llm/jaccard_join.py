@@ -52,6 +52,11 @@ from . import common, graph, packed, textkit
 
 #: Some two million entries at the smallest chunks: each word begins a shingle.
 CHUNKS_TO_BUCKET = 3
+#: Chunks stay at the smallest up to 64 GB of text, and so does what a task holds; a row between a chunk and a bucket has 100 shingles and more up to 4 TB.
+CHUNK_GROWTH = 256
+#: Bytes of text hashed at once, and shingles of sets whose lists are named at once.
+TEXT_BLOCK = 1 << 18
+KEYED_ELEMENTS = 250_000
 #: Entries of lists are fewer: of sets that may link at all, half a key for each shingle. In fewer buckets the same pairs meet less often.
 LISTS_TO_BUCKET = 4
 #: Of a task of the search: shingles at most (one longer set is a block), and sets of one cluster. Where blocks are held against one
@@ -152,7 +157,7 @@ class Rule:
 
 def _sets(text: pa.Array, rule: Rule) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each document."""
-    for a, b, data, offsets in textkit.blocks(text):
+    for a, b, data, offsets in textkit.blocks(text, TEXT_BLOCK):
         words = textkit.Words(data, offsets, lower=True)
         hashes = words.windows(rule.width)
         for i in range(b - a):
@@ -441,6 +446,21 @@ def _sought(table: pa.Table, rule: Rule) -> pa.Table:
     return _edges(LINKS, np.concatenate(a) if a else sets.docs[:0], np.concatenate(b) if b else sets.docs[:0])
 
 
+def _keyed(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """One row for each list that a set is in. A batch may have thousands of sets: so many at once as have ``KEYED_ELEMENTS`` (one larger set is alone)."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("n").to_numpy())
+        at = 0
+        while at < len(ends):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + KEYED_ELEMENTS, side="right")))
+            part = batch.slice(at, end - at)
+            owns = part.column("own").to_pylist()
+            bounds = np.r_[0, np.cumsum([len(x) // 8 for x in owns])].astype(np.int64)
+            keys, of = rule.lists(part.column("n").to_numpy(), np.frombuffer(b"".join(owns), np.uint64), bounds)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(part.column(c).take(pa.array(of)) for c in ("doc_id", "cluster", "root", "unsettled", "n"))], ["name", "doc_id", "cluster", "root", "unsettled", "n"])
+            at = end
+
+
 def _unsettled_links(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
     """Links between the classes of large clusters: each set outside the largest class against the rest of its cluster.
 
@@ -461,10 +481,8 @@ def _unsettled_links(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
     rows = common.written(rows, "unsettled-sets")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bounds = np.r_[0, np.cumsum([len(x) // 8 for x in batch.column("own").to_pylist()])].astype(np.int64)
-            keys, of = rule.lists(batch.column("n").to_numpy(), np.frombuffer(b"".join(batch.column("own").to_pylist()), np.uint64), bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(batch.column(c).take(pa.array(of)) for c in ("doc_id", "cluster", "root", "unsettled", "n"))], ["name", "doc_id", "cluster", "root", "unsettled", "n"])
+        yield from _keyed(batches, rule)
+        textkit.give_back()
 
     entries = sets.join(common.sized(rows.where("many").drop("nm", "nu", "many")), "doc_id").select("doc_id", "cluster", "root", "unsettled", "n", "own").mapInArrow(keyed, "name long, doc_id long, cluster long, root long, unsettled boolean, n long")
     lists = entries.groupBy("cluster", "name").agg(*counts, F.min("root").alias("lo"), F.max("root").alias("hi")).where("u > 0 AND lo <> hi").select("cluster", "name", "m", "u", *blocks)
@@ -481,7 +499,9 @@ def _unsettled_links(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame
     ask = dealt.where("unsettled").select(*columns, F.lit(True).alias("seeks"), F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("block"), "turn")
 
     def seek(table: pa.Table) -> pa.Table:
-        return _sought(table, rule)
+        out = _sought(table, rule)
+        textkit.give_back()
+        return out
 
     tasks = common.written(still.unionByName(ask), "tasks")
     return sets.join(common.sized(tasks), "doc_id").groupBy("by_list", "name", "block", "turn").applyInArrow(seek, _EDGES)
@@ -491,7 +511,7 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id."""
     common.ship(docs.sparkSession)
     rule = Rule(width, percent)
-    by_chunk, buckets = packed.layout(docs, CHUNKS_TO_BUCKET)
+    by_chunk, buckets = packed.layout(docs, CHUNKS_TO_BUCKET, CHUNK_GROWTH)
 
     def send(table: pa.Table) -> pa.Table:
         out = _sent(table, rule, buckets)
@@ -504,12 +524,21 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         return out
 
     def meet(table: pa.Table) -> pa.Table:
-        return _met(table, rule)
+        out = _met(table, rule)
+        textkit.give_back()
+        return out
 
     def search(table: pa.Table) -> pa.Table:
-        return _searched(table, rule)
+        out = _searched(table, rule)
+        textkit.give_back()
+        return out
+
+    def count(table: pa.Table) -> pa.Table:
+        out = _counted(table)
+        textkit.give_back()
+        return out
 
-    counted = by_chunk.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, c0 binary").groupBy("bucket").applyInArrow(_counted, "chunk int, c0 binary, c1 binary, bucket int")
+    counted = by_chunk.groupBy("chunk").applyInArrow(send, "bucket int, chunk int, c0 binary").groupBy("bucket").applyInArrow(count, "chunk int, c0 binary, c1 binary, bucket int")
     entries = common.written(by_chunk.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(enter, _ENTRIES), "entries")
 
     met = entries.where("bucket >= 0").groupBy("bucket", "kind").applyInArrow(meet, _EDGES)

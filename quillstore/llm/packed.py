@@ -18,9 +18,11 @@ from . import common
 
 SMALLEST_CHUNK = 4 << 20
 LARGEST_CHUNK = 32 << 20
+#: Square of a chunk's bytes, for each byte of all text.
+GROWTH = 4096
 
 
-def layout(docs: DataFrame, chunks_to_bucket: int) -> tuple[DataFrame, int]:
+def layout(docs: DataFrame, chunks_to_bucket: int, growth: int = GROWTH) -> tuple[DataFrame, int]:
     """``docs`` as (chunk, doc_id, text), and the number of buckets.
 
     Chunks grow with the root of the text's bytes, between two bounds, so that the rows between chunks and buckets don't
@@ -28,7 +30,7 @@ def layout(docs: DataFrame, chunks_to_bucket: int) -> tuple[DataFrame, int]:
     doc_id and text, so that long documents, hot sources and null doc_ids spread.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunk = min(LARGEST_CHUNK, max(SMALLEST_CHUNK, math.isqrt(size * 4096)))
+    chunk = min(LARGEST_CHUNK, max(SMALLEST_CHUNK, math.isqrt(size * growth)))
     least = common.shuffle_partitions(docs.sparkSession)
     chunks, buckets = max(least, -(-size // chunk)), max(least, -(-size // (chunk * chunks_to_bucket)))
     number = F.pmod(F.xxhash64(docs["doc_id"], docs["text"]), F.lit(chunks)).cast("int")

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +175,31 @@ def test_unrelated_texts_over_common_shingles_form_no_clusters(spark):
     assert times[times > 1].sum() < 0.02 * len(keys)
 
 
+def test_tasks_hold_no_more_text_at_ten_gigabytes(spark, monkeypatch):
+    asked, own = [], jaccard_join.packed.layout
+    monkeypatch.setattr(jaccard_join.packed, "layout", lambda docs, *a: asked.append(a) or own(docs, *a))
+    jaccard_join.classes(frame(spark, [(1, "one text of a few words")]))
+    large = spark.range(100).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 100_000_000).alias("text"))
+    _, buckets = own(large, *asked[0])
+    # Counted over chunks of the smallest size, as at half a gigabyte.
+    assert buckets >= 10**10 // (jaccard_join.CHUNKS_TO_BUCKET * jaccard_join.packed.SMALLEST_CHUNK)
+
+
+def test_lists_are_named_for_a_few_sets_at_once(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "KEYED_ELEMENTS", 300)
+    r, rule = random.Random(4), jaccard_join.Rule(5, 80)
+    sets = [[r.randrange(1 << 63) for _ in range(n)] for n in (90, 120, 20, 1000, 30, 250, 50, 60)]
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": list(range(len(sets))), "cluster": [7] * len(sets), "root": list(range(len(sets))), "unsettled": [k % 2 == 0 for k in range(len(sets))],
+        "n": [len(x) for x in sets], "own": [np.array(x, np.uint64).tobytes() for x in sets],
+    })
+    found = list(jaccard_join._keyed([batch], rule))
+    assert [sorted(set(b.column("doc_id").to_pylist())) for b in found] == [[0, 1, 2], [3], [4, 5], [6, 7]]
+    keys, of = rule.lists(np.array([len(x) for x in sets]), np.concatenate([np.array(x, np.uint64) for x in sets]), np.r_[0, np.cumsum([len(x) for x in sets])])
+    got = [(row["name"], row["doc_id"], row["unsettled"], row["n"]) for b in found for row in b.to_pylist()]
+    assert sorted(got) == sorted((k, d, d % 2 == 0, len(sets[d])) for k, d in zip(keys.view(np.int64).tolist(), of.tolist()))
+
+
 def test_boundary_follows_cost():
     assert jaccard_join.Rule(3, 90).boundary() == 19 and jaccard_join.Rule(5, 80).boundary() == 9
 
