@@ -59,13 +59,15 @@ def settled(spark: SparkSession, make, name: str) -> DataFrame:
 #: Of what is broadcast, at most.
 BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 100 << 20
+#: Of memory for each column of a row that is broadcast, about (230 bytes for seven columns, measured).
+COLUMN_BYTES = 32
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its rows, counted, and the bytes of its texts are few enough; joins with it shuffle otherwise. ``df`` is in the shared folder already."""
+    """Marked for broadcast if its rows, counted, and the bytes of its columns are few enough; joins with it shuffle otherwise. ``df`` is in the shared folder already."""
     texts = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind in ("string", "binary")]
     rows, *sizes = df.agg(F.count(F.lit(1)), *texts).first()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS and sum(s or 0 for s in sizes) <= BROADCAST_BYTES else df
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and rows * len(df.columns) * COLUMN_BYTES + sum(s or 0 for s in sizes) <= BROADCAST_BYTES else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

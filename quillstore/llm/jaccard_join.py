@@ -17,7 +17,8 @@
    reached; overlaps are counted on whole 64-bit shingles, each pair once. Small clusters share
    tasks. Larger ones (``BLOCK_SETS``, ``CLUSTER_ELEMENTS``) are dealt into blocks, each searched
    together with a few hubs of its cluster. Sets of one class need no more comparing, so only
-   those outside their cluster's largest class are then held against the rest, unless other sets hold too few of their shingles for a
+   those outside their cluster's largest class are then held against the rest, in clusters of those alone that share enough lists for a
+   link (``_apart``), unless other sets hold too few of their shingles for a
    link with any: list by list, or block by block, whichever copies fewer sets.
 4. Components over all links give each document the smallest doc_id it reaches.
 
@@ -66,6 +67,11 @@ BLOCK_SETS = 128
 SEEK_SETS = 256
 #: Sets of a large cluster that every block is held against, about.
 HUBS = 32
+#: Lists of a large cluster with more sets count as common: their sets stay together. Of others, each pair is counted.
+COMMON_SETS = 32
+#: Entries of lists that one task counts pairs of, about.
+PAIR_ENTRIES = 500_000
+_COMMON = 1 << 40
 #: Copies of each set, on average, from which on a large cluster's lists are looked at: they cost a few copies themselves.
 BLOCK_COPIES = 16
 _LOW = np.uint64((1 << 40) - 1)
@@ -154,6 +160,18 @@ class Rule:
             owners.append(np.repeat(of[bare], each))
         return np.concatenate(keys), np.concatenate(owners)
 
+    def full(self, sizes: np.ndarray, flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The size class of each set of ``lists``, and how many parts aren't empty under that class and under the next."""
+        starts, parts, _ = self.size_classes
+        own = np.searchsorted(starts, sizes, side="right") - 1
+        owner, mixed = np.repeat(np.arange(len(sizes)), np.diff(bounds)), textkit.mix(flat ^ _GOLDEN)
+        counts = []
+        for label in (own, own + 1):
+            first = np.r_[0, np.cumsum(parts[label])]
+            cell = np.unique(first[owner] + ((mixed >> np.uint64(32)) % parts[label][owner].astype(np.uint64)).astype(np.int64))
+            counts.append(np.diff(np.searchsorted(cell, first)))
+        return own, *counts
+
 
 def _sets(text: pa.Array, rule: Rule) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each document."""
@@ -461,6 +479,94 @@ def _keyed(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordB
             at = end
 
 
+def _shapes(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[pa.RecordBatch]:
+    """For each set its size class, the parts that aren't empty under it and under the next, and the shingles that others have."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("n").to_numpy())
+        at = 0
+        while at < len(ends):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + KEYED_ELEMENTS, side="right")))
+            part = batch.slice(at, end - at)
+            owns = part.column("own").to_pylist()
+            bounds = np.r_[0, np.cumsum([len(x) // 8 for x in owns])].astype(np.int64)
+            found = rule.full(part.column("n").to_numpy(), np.frombuffer(b"".join(owns), np.uint64), bounds)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n"), *(pa.array(x.astype(np.int64)) for x in (*found, np.diff(bounds)))], ["doc_id", "n", "class", "now", "next", "held"])
+            at = end
+
+
+def _counted_pairs(table: pa.Table) -> pa.Table:
+    """(a, b, k): two sets of different classes that are together in k of these lists. Classes of a common list meet that of its smallest set, with ``_COMMON``."""
+    names, docs, roots = (np.concatenate([packed.widened(x.as_py(), 8) for x in table.column(f"c{i}")]).view(np.int64) for i in range(3))
+    order = np.lexsort((docs, names))
+    names, docs, roots = names[order], docs[order], roots[order]
+    new = np.r_[True, names[1:] != names[:-1]]
+    first = np.flatnonzero(new)
+    each = np.diff(np.r_[first, len(names)])
+    start, size = np.repeat(first, each), np.repeat(each, each)
+    common_ = np.flatnonzero(size > COMMON_SETS)
+    a, b = _once(roots[start[common_]], roots[common_])
+    found = [(a[a != b], b[a != b], np.full(int((a != b).sum()), _COMMON))]
+    at = np.flatnonzero((size > 1) & (size <= COMMON_SETS))
+    pairs = [docs[:0]], [docs[:0]]
+    for step in range(1, COMMON_SETS):
+        at = at[at + step < start[at] + size[at]]
+        apart = at[(roots[at] != roots[at + step]) & (docs[at] != docs[at + step])]
+        pairs[0].append(docs[apart])
+        pairs[1].append(docs[apart + step])
+    a, b = map(np.concatenate, pairs)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    cuts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else docs[:0].astype(np.int64)
+    found.append((a[cuts], b[cuts], np.diff(np.r_[cuts, len(a)])))
+    return pa.table({c: pa.array(np.concatenate([x[i] for x in found]).astype(np.int64)) for i, c in enumerate("abk")})
+
+
+def _apart(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
+    """``known`` with its clusters cut into those of the classes that links may join; classes that link with no other are left out.
+
+    Lists join unrelated sets into clusters that grow much faster than the input, each pair by a list or two; linked sets share many. Of a set's parts with shingles,
+    each that isn't a list of both holds a shingle that one of the two lacks, of which there are held + held - 2 * overlap at most. So
+    linked sets of different classes are together in so many lists less than either has such parts, or in a common list.
+    """
+    spark = known.sparkSession
+    own = sets.join(common.sized(known.select("doc_id", "cluster", "root", F.lit(True).alias("unsettled"))), "doc_id")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _keyed(batches, rule):
+            name, *rest = (batch.column(c).to_numpy().view(np.uint64) for c in ("name", "doc_id", "root"))
+            yield from packed.dealt(0, name, [name, *rest], buckets, (8, 8, 8)).to_batches()
+        textkit.give_back()
+
+    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _shapes(batches, rule)
+        textkit.give_back()
+
+    def pairs(table: pa.Table) -> pa.Table:
+        out = _counted_pairs(table)
+        textkit.give_back()
+        return out
+
+    held = known.agg(F.sum("n")).first()[0] or 0
+    buckets = max(common.shuffle_partitions(spark) // LISTS_TO_BUCKET, -(-held // PAIR_ENTRIES), 1)
+    lists = own.select("doc_id", "cluster", "root", "unsettled", "n", "own").mapInArrow(keyed, "bucket int, chunk int, c0 binary, c1 binary, c2 binary")
+    counts = lists.groupBy("bucket").applyInArrow(pairs, "a long, b long, k long").groupBy("a", "b").agg(F.sum("k").alias("k"))
+    # Rows that share a doc_id may have several sets; nothing is known of what those share.
+    shape = own.select("doc_id", "n", "own").mapInArrow(shapes, "doc_id long, n long, class long, now long, next long, held long").groupBy("doc_id").agg(
+        *(F.when(F.count(F.lit(1)) == 1, F.first(c)).alias(c) for c in ("n", "class", "now", "next", "held"))
+    )
+    shape = common.written(shape.join(common.sized(known.select("doc_id", "root")), "doc_id"), "shapes")
+    for side in "ab":
+        counts = counts.join(common.sized(shape.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("root", "n", "class", "now", "next", "held")))), side, "left")
+    larger = F.greatest("a_class", "b_class")
+    parts = F.greatest(*(F.when(F.col(f"{x}_class") == larger, F.col(f"{x}_now")).otherwise(F.col(f"{x}_next")) for x in "ab"))
+    overlap = F.ceil(F.lit(rule.percent) * (F.col("a_n") + F.col("b_n")) / (100 + rule.percent) - 1e-6)
+    may = (F.col("k") >= parts - (F.col("a_held") + F.col("b_held") - 2 * overlap)) & (overlap <= F.least("a_held", "b_held"))
+    joined = common.written(counts.where((F.col("k") >= _COMMON) | F.coalesce(may, F.lit(True))).select(*(F.coalesce(f"{x}_root", x).alias(x) for x in "ab")).distinct(), "pairs")
+    new = graph.components(joined)
+    new = new.select(F.col("root").alias("cluster"), F.col("node").alias("root")).unionByName(new.select(F.col("root").alias("cluster"), "root").distinct())
+    return common.written(known.drop("cluster").join(common.sized(common.written(new, "apart")), "root").select(*known.columns), "known-apart")
+
+
 def _unsettled_links(known: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame | None:
     """Links between the classes of large clusters: each set outside the largest class against the rest of its cluster.
 
@@ -564,7 +670,7 @@ def classes(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     roots = graph.components(found)
     if not large.isEmpty():
         known = member.join(common.sized(large), "cluster").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "cluster", F.coalesce("root", "doc_id").alias("root"), "n", "least", "held")
-        more = _unsettled_links(common.written(known, "known"), sets, rule)
+        more = _unsettled_links(_apart(common.written(known, "known"), sets, rule), sets, rule)
         if more is not None:
             roots = graph.components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))
     rows = entries.where(f"kind = {DOCS}").mapInArrow(_documents, "doc_id long, n_shingles long")

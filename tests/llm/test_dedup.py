@@ -132,6 +132,44 @@ def test_either_way_of_settling_finds_every_link(spark, monkeypatch):
         assert [x.by_list for x in kept["ways"][-1].collect()] == [by_list]
 
 
+def test_large_clusters_fall_apart_where_sets_share_few_lists(spark, monkeypatch):
+    """Sets that share a third with their neighbours make one cluster; only those that may link are held against others, and no link is lost."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
+    monkeypatch.setattr(jaccard_join, "HUBS", 1)
+    monkeypatch.setattr(jaccard_join, "COMMON_SETS", 12)
+    given, own = [], jaccard_join._unsettled_links
+    monkeypatch.setattr(jaccard_join, "_unsettled_links", lambda known, *a: given.append((known.count(), known.select("cluster").distinct().count())) or own(known, *a))
+    r = random.Random(8)
+    long = [f"w{r.randrange(10**6)}" for _ in range(12_000)]
+    rows = [(i, " ".join(long[70 * i : 70 * i + 160])) for i in range(150)]
+    for i in range(0, 150, 10):
+        for k in range(2):
+            words = rows[i][1].split(" ")
+            words[20 + 60 * k] = "other"
+            rows.append((1000 + 10 * i + k, " ".join(words)))
+    got = sorted(map(tuple, jaccard_join.classes(frame(spark, rows), 5, 80).collect()), key=str)
+    assert got == sorted(brute.classes(rows, 5, 80), key=str) and len({c for _, _, c in got}) == 150
+    assert len(given) == 1 and given[0][0] < 60 and given[0][1] != 1
+
+
+def test_pairs_are_counted_by_the_lists_they_share():
+    from collections import Counter
+    from itertools import combinations
+
+    r = random.Random(1)
+    lists = {name: sorted(r.sample(range(300), r.choice((1, 2, 3, 8, 32, 33, 60)))) for name in range(80)}
+    root = [i - i % 3 for i in range(300)]
+    rows = [(name, d, root[d]) for name, docs in lists.items() for d in docs]
+    r.shuffle(rows)
+    names, docs, roots = (np.array(x, np.int64) for x in zip(*rows))
+    out = jaccard_join._counted_pairs(pa.table({f"c{i}": [x[:700].tobytes(), x[700:].tobytes()] for i, x in enumerate((names, docs, roots))}))
+    want = Counter(p for docs in lists.values() if len(docs) <= jaccard_join.COMMON_SETS for p in combinations(docs, 2) if root[p[0]] != root[p[1]])
+    stars = {(root[docs[0]], root[d]) for docs in lists.values() if len(docs) > jaccard_join.COMMON_SETS for d in docs if root[d] != root[docs[0]]}
+    got = list(zip(*(out.column(c).to_pylist() for c in "abk")))
+    assert {(a, b): k for a, b, k in got if k < jaccard_join._COMMON} == want
+    assert sorted((a, b) for a, b, k in got if k == jaccard_join._COMMON) == sorted(stars)
+
+
 def test_parts_hold_every_link_and_few_others():
     """Linked sets share a list; unrelated sets over common shingles don't."""
     import numpy as np
